@@ -238,6 +238,7 @@ FROM (SELECT doc_id, text, unnest(range(1 + ceil(greatest(0, length(text) - 2000
         *_CORPUS, _POSTINGS, _search("SELECT item_id AS query_id, text FROM benchmark", f"language = {_lit(r.LANGUAGE)}")
     )
     + "SELECT query_id, rank, doc_id, chunk_no, score FROM hits",
+    "search_pruned": _with(*_HITS) + "SELECT query_id, rank, doc_id, chunk_no, score FROM hits",
     "context_block": _with(*_HITS, _CONTEXT) + "SELECT query_id, context FROM contexts",
     "references": _with(*_HITS)
     + """SELECT query_id, chr(10) || chr(10) || '**References:**' || chr(10)

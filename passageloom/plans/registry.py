@@ -196,7 +196,14 @@ def search_topk(spark, d):
 def search_filtered(spark, d):
     index = index_chunks(_chunks(spark, d))
     queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.search_topk(index, queries, answers.HITS, ROUTED)
+    # Without the direct join, so that small tables take the plan of large ones too.
+    return retrieval.search_topk(index, queries, answers.HITS, ROUTED, pair_limit=0)
+
+
+@query
+def search_pruned(spark, d):
+    index = index_chunks(_chunks(spark, d))
+    return retrieval.search_topk(index, _last_questions(spark, d), answers.HITS, pair_limit=0)
 
 
 @query
