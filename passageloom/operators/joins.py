@@ -1,4 +1,4 @@
-"""Join that stays balanced when one key holds a large share of the rows."""
+"""Placement of rows, and a join that stays balanced when one key holds a large share of them."""
 
 from __future__ import annotations
 
@@ -25,3 +25,12 @@ def spread_join(
     salted = many.withColumn("_way", F.pmod(F.xxhash64(*spread_by), F.lit(ways)))
     repeated = one.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
     return salted.join(repeated, [*on, "_way"], how).drop("_way")
+
+
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows on unique ``keys`` into ``spark.sql.shuffle.partitions`` partitions.
+
+    The number is explicit because the rows are about to be expanded: chosen at
+    run time from their size before it, it would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -16,13 +16,14 @@ from pyspark.sql import types as T
 from passageloom.functions.stemming import stem, stem_tokens
 from passageloom.functions.text import ngrams, tokens
 from passageloom.functions.words import common_subsequence
+from passageloom.operators.joins import place
 
 BLEU_ORDERS = (1, 2, 3, 4)
 
 
 def ngram_counts(df: DataFrame, n: int, key: str = "pair_id", text: str = "text", tokenizer: str = "unicode") -> DataFrame:
     """``(key, gram, n_grams)``: how often each n-gram occurs in each text."""
-    placed = df.select(key, text).repartition(key).withColumn("_tokens", tokens(F.col(text), tokenizer))
+    placed = place(df.select(key, text), key).withColumn("_tokens", tokens(F.col(text), tokenizer))
     grams = placed.select(key, F.explode(ngrams(F.col("_tokens"), n)).alias("gram"))
     return grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n_grams"))
 
@@ -96,7 +97,7 @@ def _rouge(name: str, n: int) -> Column:
 
 
 def _placed(pairs: DataFrame) -> DataFrame:
-    return pairs.select("pair_id", "reference", "candidate").repartition("pair_id")
+    return place(pairs.select("pair_id", "reference", "candidate"), "pair_id")
 
 
 def score_bleu(pairs: DataFrame, tokenizer: str = "13a") -> DataFrame:
@@ -127,7 +128,7 @@ def score_pairs(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True
     The defaults are those of the usual scorers: 13a tokens for BLEU, stemmed
     lower-case ASCII tokens for ROUGE.
     """
-    placed = _tokenized(pairs.repartition("pair_id"), "r", tokenizer, stemmed)
+    placed = _tokenized(place(pairs, "pair_id"), "r", tokenizer, stemmed)
     if bleu_tokenizer == tokenizer and not stemmed:
         name, orders = "r", {"r": BLEU_ORDERS}
     else:
