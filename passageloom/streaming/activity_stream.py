@@ -27,16 +27,19 @@ def stream_pairs(messages: DataFrame, wait: str | None = None) -> DataFrame:
     question, and older unanswered questions are dropped. Without it, questions
     wait for ever.
     """
+    # Event times are instants; the log's own times are wall-clock times.
+    instant = F.col("ts").cast("timestamp")
     asked = messages.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next"), F.col("ts").alias("_asked")
+        "conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next"), instant.alias("_asked")
     )
     answered = messages.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"), "ts"
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"), "ts", instant.alias("_answered")
     )
     same = (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn"))
     if wait:
-        asked, answered = asked.withWatermark("_asked", wait), answered.withWatermark("ts", wait)
-        same = same & (F.col("ts") >= F.col("_asked")) & (F.col("ts") <= F.col("_asked") + F.expr(f"INTERVAL {wait}"))
+        asked, answered = asked.withWatermark("_asked", wait), answered.withWatermark("_answered", wait)
+        latest = F.col("_asked") + F.expr(f"INTERVAL {wait}")
+        same = same & F.col("_answered").between(F.col("_asked"), latest)
     return asked.join(answered, same).select("conv_id", "turn", "question", "answer", "ts")
 
 

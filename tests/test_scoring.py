@@ -1,0 +1,159 @@
+import math
+import random
+from collections import Counter
+
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from passageloom.functions.stemming import porter_stem
+from passageloom.functions.words import common_subsequence
+from passageloom.operators.scoring import (
+    ngram_counts,
+    score_bleu,
+    score_pairs,
+    score_rouge_l,
+    score_rouge_n,
+    stem_vocabulary,
+)
+from passageloom.operators.stats import describe_scores, grouped_sum, preview
+from passageloom.plans.evaluation import SCORES, evaluate
+
+PAIR = "pair_id string, reference string, candidate string"
+
+
+def table(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=80), st.lists(st.sampled_from("abcde"), max_size=80))
+def test_common_subsequence(a, b):
+    assert common_subsequence(a, b) == table(a, b)
+
+
+def grams(tokens, n):
+    return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+
+
+def bleu(ref, cand):
+    logs, used, zeros, matched = 0.0, 0, 0, 0
+    for n in range(1, 5):
+        total = max(len(cand) - n + 1, 0)
+        if not total:
+            break
+        hit = sum((grams(cand, n) & grams(ref, n)).values())
+        matched, used = matched + hit, used + 1
+        if hit == 0:
+            zeros += 1
+        logs += math.log(100 * hit / total if hit else 100 / (2**zeros * total))
+    if not matched:
+        return 0.0
+    return math.exp(logs / used) * (math.exp(1 - len(ref) / len(cand)) if len(cand) < len(ref) else 1)
+
+
+def f_measure(hit, a, b):
+    return 2 * hit / (a + b) if a + b else 0.0
+
+
+def pairs():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 20))), " ".join(rng.choices(words, k=rng.randint(0, 20)))) for _ in range(60)]
+    rows += [("a b c d e", "a b c d e"), ("a b", "c d"), ("", ""), ("a", ""), ("", "a"), ("a b c d", "a b"), ("a", "a")]
+    return [(str(i), r, c) for i, (r, c) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bleu_tokenizer", ["unicode", "13a"])
+def test_scores(spark, bleu_tokenizer):
+    df = spark.createDataFrame(pairs(), PAIR).repartition(3)
+    scored = score_pairs(df, "unicode", stemmed=False, bleu_tokenizer=bleu_tokenizer)
+    assert scored.columns == ["pair_id", "reference", "candidate", *SCORES]
+    got = {r.pair_id: r for r in scored.collect()}
+    assert len(got) == len(pairs())
+    for key, ref, cand in pairs():
+        r, c = ref.split(), cand.split()
+        want = [
+            bleu(r, c),
+            *[f_measure(sum((grams(r, n) & grams(c, n)).values()), sum(grams(r, n).values()), sum(grams(c, n).values())) for n in (1, 2)],
+            f_measure(table(r, c), len(r), len(c)),
+        ]
+        assert [got[key][s] for s in SCORES] == pytest.approx(want), (ref, cand)
+    one = lambda frame, col: {r.pair_id: r[col] for r in frame.collect()}
+    assert one(score_bleu(df, bleu_tokenizer), "bleu") == pytest.approx({k: v.bleu for k, v in got.items()})
+    assert one(score_rouge_n(df, 2, "unicode", False), "rouge2") == pytest.approx({k: v.rouge2 for k, v in got.items()})
+    assert one(score_rouge_l(df, "unicode", False), "rouge_l") == pytest.approx({k: v.rouge_l for k, v in got.items()})
+
+
+def test_identical_null_and_stemmed(spark):
+    rows = [("1", "The cats were running!", "The cats were running!"), ("2", "running cats", "run cat"), ("3", None, "x"), ("4", None, None)]
+    got = {r.pair_id: [r[s] for s in SCORES] for r in score_pairs(spark.createDataFrame(rows, PAIR)).collect()}
+    assert got["1"] == pytest.approx([100, 1, 1, 1])
+    # "cats" is stemmed, "cat" and "run" are short enough to stay.
+    assert got["2"] == pytest.approx([0, 1, 1, 1])
+    assert got["3"] == got["4"] == [0, 0, 0, 0]
+
+
+def test_ngrams_per_text(spark):
+    df = spark.createDataFrame([("1", "a b a b"), ("2", None)], "pair_id string, text string")
+    assert {tuple(r) for r in ngram_counts(df, 2).collect()} == {("1", "a b", 2), ("1", "b a", 1)}
+
+
+# Examples printed in the published description of the algorithm.
+STEMS = """caresses caress ponies poni caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration
+valenci valenc hesitanci hesit digitizer digit radicalli radic differentli differ vileli vile analogousli analog
+vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form
+formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow
+inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun
+activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate
+cease ceas controll control roll roll""".split()
+
+
+def test_stems(spark):
+    for word, stem in zip(STEMS[::2], STEMS[1::2]):
+        assert porter_stem(word) == stem, word
+    assert [porter_stem(w) for w in ("dies", "died", "dying", "is", "by", "enjoy")] == ["die", "die", "die", "is", "by", "enjoy"]
+    words = spark.createDataFrame([(w,) for w in STEMS[::2] * 3], "token string")
+    rows = stem_vocabulary(words).collect()
+    assert {(r.token, r.stem) for r in rows} == set(zip(STEMS[::2], STEMS[1::2])) and len(rows) == len(set(STEMS[::2]))
+
+
+def test_description(spark):
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([0.0, 1.0, rng.random()]), float(i)) for i in range(700)]
+    rows += [("one", 3.0, 1.0), ("two", 1.0, None), ("two", float("nan"), 2.0), ("two", 5.0, 7.0), ("none", None, None), (None, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
+    got = {(r.g, r.metric): r for r in describe_scores(df, ["a", "b"], ["g"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b"])
+    for group in ("hot", "one", "two", "none", None):
+        for metric in ("a", "b"):
+            want = pdf[pdf.g.isna() if group is None else pdf.g == group][metric].astype(float).describe()
+            row = got.pop((group, metric))
+            for name, label in zip(("count", "mean", "std", "min", "q25", "q50", "q75", "max"), want.index):
+                if math.isnan(want[label]):
+                    assert row[name] is None
+                else:
+                    assert row[name] == pytest.approx(want[label]), (group, metric, name)
+    assert not got
+    assert describe_scores(df, ["a"]).columns == ["metric", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+
+
+def test_sums_and_preview(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("b", "x", 4)], "k string, l string, v long")
+    got = {(r.k, r.l, r.level): r.sum_v for r in grouped_sum(df, ["k", "l"], ["v"]).collect()}
+    assert got == {("a", None, 0): 1, ("a", "x", 0): 2, ("b", "x", 0): 4, ("a", None, 1): 3, ("b", None, 1): 4, (None, None, 3): 7}
+    assert [r.v for r in preview(df, ["v"], 2).collect()] == [1, 2]
+
+
+def test_summary(spark):
+    rows = {r.metric: r for r in evaluate(spark.createDataFrame(pairs(), PAIR)).collect()}
+    assert set(rows) == set(SCORES) and all(r["count"] == len(pairs()) for r in rows.values())
