@@ -19,6 +19,7 @@ from passageloom.functions.words import common_subsequence
 from passageloom.operators.joins import place
 
 BLEU_ORDERS = (1, 2, 3, 4)
+SCORES = ["bleu", "rouge1", "rouge2", "rouge_l"]
 
 
 def ngram_counts(df: DataFrame, n: int, key: str = "pair_id", text: str = "text", tokenizer: str = "unicode") -> DataFrame:
@@ -96,19 +97,26 @@ def _rouge(name: str, n: int) -> Column:
     return _f_measure(*[F.col(f"{name}_{n}_{label}") for label in ("hit", "c", "r")])
 
 
-def _placed(pairs: DataFrame) -> DataFrame:
-    return place(pairs.select("pair_id", "reference", "candidate"), "pair_id")
+def _placed(pairs: DataFrame, name: str, tokenizer: str, stemmed: bool) -> DataFrame:
+    """Pairs hashed on ``pair_id``, with their tokens.
+
+    Spark does not know where the output of Python lies, so stemming comes
+    before the placement. Other tokens come after it: the text is smaller.
+    """
+    if stemmed:
+        return place(_tokenized(pairs, name, tokenizer, True), "pair_id")
+    return _tokenized(place(pairs, "pair_id"), name, tokenizer, False)
 
 
 def score_bleu(pairs: DataFrame, tokenizer: str = "13a") -> DataFrame:
     """``(pair_id, bleu)``: sentence BLEU with up to four orders."""
-    overlaps = _overlaps(_tokenized(_placed(pairs), "b", tokenizer, False), {"b": BLEU_ORDERS})
+    overlaps = _overlaps(_placed(pairs, "b", tokenizer, False), {"b": BLEU_ORDERS})
     return overlaps.select("pair_id", _bleu("b").alias("bleu"))
 
 
 def score_rouge_n(pairs: DataFrame, n: int, tokenizer: str = "ascii", stemmed: bool = True) -> DataFrame:
     """``(pair_id, rouge<n>)``: F measure of matching n-grams."""
-    overlaps = _overlaps(_tokenized(_placed(pairs), "r", tokenizer, stemmed), {"r": (n,)})
+    overlaps = _overlaps(_placed(pairs, "r", tokenizer, stemmed), {"r": (n,)})
     return overlaps.select("pair_id", _rouge("r", n).alias(f"rouge{n}"))
 
 
@@ -128,7 +136,7 @@ def score_pairs(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True
     The defaults are those of the usual scorers: 13a tokens for BLEU, stemmed
     lower-case ASCII tokens for ROUGE.
     """
-    placed = _tokenized(place(pairs, "pair_id"), "r", tokenizer, stemmed)
+    placed = _placed(pairs, "r", tokenizer, stemmed)
     if bleu_tokenizer == tokenizer and not stemmed:
         name, orders = "r", {"r": BLEU_ORDERS}
     else:
@@ -137,8 +145,9 @@ def score_pairs(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True
     overlaps = _overlaps(placed, orders).select(
         "pair_id", _bleu(name).alias("bleu"), _rouge("r", 1).alias("rouge1"), _rouge("r", 2).alias("rouge2")
     )
-    sequences = placed.select(*pairs.columns, _rouge_l().alias("rouge_l"))
-    return sequences.join(overlaps, "pair_id").select(*pairs.columns, "bleu", "rouge1", "rouge2", "rouge_l")
+    # Also Python, so before the placement, which the join below then shares.
+    sequences = _tokenized(pairs, "r", tokenizer, stemmed).select(*pairs.columns, _rouge_l().alias("rouge_l"))
+    return place(sequences, "pair_id").join(overlaps, "pair_id").select(*pairs.columns, *SCORES)
 
 
 def stem_vocabulary(words: DataFrame, col: str = "token") -> DataFrame:

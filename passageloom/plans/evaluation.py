@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageloom.operators.conversation import pair_turns
-from passageloom.operators.scoring import score_pairs
+from passageloom.operators.scoring import SCORES, score_pairs
 from passageloom.operators.stats import describe_scores
 
-SCORES = ["bleu", "rouge1", "rouge2", "rouge_l"]
-
 
 def message_pairs(messages: DataFrame) -> DataFrame:
     """``(pair_id, reference, candidate)``: each question as reference, the answer after it as candidate."""

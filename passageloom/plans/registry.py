@@ -188,13 +188,13 @@ _chunk_query("chunk_chars", chunk_chars)
 
 @query
 def search_topk(spark, d):
-    index = index_chunks(_chunks(spark, d))
+    index = index_chunks(_stored_chunks(spark, d))
     return retrieval.search_topk(index, _last_questions(spark, d), answers.HITS)
 
 
 @query
 def search_filtered(spark, d):
-    index = index_chunks(_chunks(spark, d))
+    index = index_chunks(_stored_chunks(spark, d))
     queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     # Without the direct join, so that small tables take the plan of large ones too.
     return retrieval.search_topk(index, queries, answers.HITS, ROUTED, pair_limit=0)
@@ -202,7 +202,7 @@ def search_filtered(spark, d):
 
 @query
 def search_pruned(spark, d):
-    index = index_chunks(_chunks(spark, d))
+    index = index_chunks(_stored_chunks(spark, d))
     return retrieval.search_topk(index, _last_questions(spark, d), answers.HITS, pair_limit=0)
 
 
