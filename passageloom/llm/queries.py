@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageloom.llm import line_quality, url_filter
-from passageloom.llm.common import table
+from passageloom.llm import classifier, line_quality, mixing, url_filter
+from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,57 @@ FROM failed
 """
 
 
+@query
+def op4_mixing(spark, d):
+    return mixing.mix(table(spark, d, "documents"))
+
+
+SQL["op4_mixing"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [{", ".join(f"{w}.0::DOUBLE" for w in mixing.WEIGHTS)}][rank % {len(mixing.WEIGHTS)} + 1] AS weight,
+    CAST(source_size AS DOUBLE) * {mixing.MAX_EPOCHS} AS cap FROM sources),
+rooms AS (
+  SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+    sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+    sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM weighed),
+capped AS (SELECT *, cap * share <= room * weight AS capped FROM rooms),
+targets AS (
+  SELECT source, source_size, rank, total, CASE WHEN capped THEN cap ELSE
+    (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) * weight
+      / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM capped),
+queued AS (
+  SELECT doc_id, size, source_size, target, total, rank, row_number() OVER () AS rid,
+    CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)
+      AS BIGINT) AS done
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT rid, size, rank, total, CAST(source_size * epoch + done AS DOUBLE) / target AS finish
+  FROM queued, (SELECT unnest(range({mixing.MAX_EPOCHS})) AS epoch)
+  WHERE size > 0 AND CAST(source_size * epoch + done - size AS DOUBLE) < target),
+ordered AS (
+  SELECT rid, size, total, sum(size) OVER (ORDER BY finish, rank ROWS UNBOUNDED PRECEDING) AS words FROM copies),
+taken AS (SELECT rid, sum(size) AS taken FROM ordered WHERE words <= total GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM queued LEFT JOIN taken USING (rid)
+"""
+
+
+@query
+def op5_quality_classifier(spark, d):
+    labels = table(spark, d, "labels")
+    labels = labels.filter(~held_out(labels["doc_id"], 4))
+    scored = classifier.classify(table(spark, d, "documents"), labels)
+    return scored.select("doc_id", held_out(scored["doc_id"], 4).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_url_filter(spark, d):
     return url_filter.filter_urls(table(spark, d, "pages"))
