@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageloom.llm import classifier, line_quality, mixing, url_filter
+from passageloom.llm import classifier, line_quality, mixing, sentencepiece, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def _like(text: str) -> str:
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+@query
+def op1_sentencepiece(spark, d):
+    return sentencepiece.encode(table(spark, d, "documents"))
+
+
 @query
 def op3_line_quality(spark, d):
     return line_quality.clean_documents(table(spark, d, "documents"), with_text=False)

@@ -1,0 +1,294 @@
+"""SentencePiece encoding and decoding by a streaming Viterbi search.
+
+Positions of a text are visited once, from left to right. A position keeps one
+backpointer to the piece that ends there; only positions within the longest
+piece can still be extended, so when the backpointer paths of these meet in one
+boundary, everything before it is final and is committed.
+
+For a unigram model a path's worth is the sum of its scores. For a merge (BPE)
+model sums of scores don't give the model's segmentation; there a step is
+allowed only if the merges of the two neighbouring pieces together give these
+two pieces again, which leaves one path to every position.
+"""
+
+from __future__ import annotations
+
+import heapq
+import re
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from passageloom.llm.common import batched, rows_of, texts
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SPACE = "▁"
+# Stands for a literal mark in a text; no UTF-8 text holds a lone surrogate.
+_LITERAL = "\ud800"
+_UNIGRAM, _BPE = 1, 2
+_NORMAL, _USER, _BYTE = 1, 4, 6
+_UNKNOWN_PENALTY = 10.0
+_COMMIT_EVERY = 512
+# Entries of each memo; both are emptied when full.
+_MEMO = 1 << 19
+
+
+class Model:
+    """Pieces and scores of a model file with an identity normaliser and byte fallback."""
+
+    def __init__(self, data: bytes) -> None:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.ParseFromString(data)
+        self.kind = proto.trainer_spec.model_type
+        rules = proto.normalizer_spec
+        if rules.name != "identity" or rules.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
+            raise ValueError("only models with an identity normaliser and byte fallback are supported")
+        if self.kind not in (_UNIGRAM, _BPE):
+            raise ValueError("only unigram and BPE models are supported")
+        self.prefix = rules.add_dummy_prefix
+        self.pieces = [p.piece for p in proto.pieces]
+        self.ids: dict[str, int] = {}
+        self.scores: dict[str, float] = {}
+        self.bytes = [0] * 256
+        self.byte_of: dict[int, int] = {}
+        for i, p in enumerate(proto.pieces):
+            if p.type in (_NORMAL, _USER):
+                self.ids[p.piece], self.scores[p.piece] = i, p.score
+            elif p.type == _BYTE:
+                value = int(p.piece[3:5], 16)
+                self.bytes[value], self.byte_of[i] = i, value
+        self.longest = max(map(len, self.ids))
+        self.chars = {c for p in self.ids for c in p}
+        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)} | self.chars
+        self.unknown = min(self.scores.values()) - _UNKNOWN_PENALTY
+        # No piece goes on past the start of a run of spaces, so every path has a boundary there.
+        self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self._fits: dict[str, dict[str, bool]] = {}
+        self._known = 0
+        self._memo: dict[str, array] = {}
+        blank = "".join(c for c in "\n\t\r" if c not in self.chars)
+        self._units = re.compile(f" *[^ {blank}]+|[{blank}]| +" if blank else " *[^ ]+| +")
+
+    def merge(self, text: str) -> list[str]:
+        """Pieces of ``text`` by the model's merges: best score first, leftmost of equals."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else len(parts)
+            if i >= 0 and j < len(parts):
+                joined = parts[i] + parts[j]
+                if joined in self.scores:
+                    heapq.heappush(heap, (-self.scores[joined], i, joined))
+
+        for i in range(len(parts)):
+            offer(i)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[j] is None or parts[i] + parts[j] != joined:
+                continue
+            parts[i], parts[j] = joined, None
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
+
+    def neighbours(self, left: str) -> dict[str, bool]:
+        """What is known of the pieces after ``left`` (empty at the start)."""
+        found = self._fits.get(left)
+        if found is None:
+            if self._known > _MEMO:
+                self._fits.clear()
+                self._known = 0
+            found = self._fits[left] = {}
+        return found
+
+    def fits(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        """Whether the merges of both together leave both as they are."""
+        self._known += 1
+        found = known[right] = self.merge(left + right) == ([left, right] if left else [right])
+        return found
+
+    def search(self, text: str) -> Iterator[str]:
+        """Pieces of ``text``, each as soon as every surviving path goes through it.
+
+        A character that is in no piece comes out alone.
+        """
+        begin = 0
+        for stop, c in enumerate(text):
+            if c not in self.chars:
+                # No piece covers it, so the paths meet before and after it; merges don't cross it either.
+                yield from self._paths(text[begin:stop])
+                yield c
+                begin = stop + 1
+        yield from self._paths(text[begin:])
+
+    def _paths(self, text: str) -> Iterator[str]:
+        n, longest, scores, prefixes = len(text), self.longest, self.scores, self.prefixes
+        bpe = self.kind == _BPE
+        # Position -> start of the piece that ends there, and for unigram models the sum of scores; uncommitted ones only.
+        back: dict[int, int] = {0: -1}
+        best: dict[int, float] = {0: 0.0}
+        done, left = 0, ""
+        for begin in range(n):
+            start = back.get(begin)
+            if start is None:
+                continue
+            if begin > done:
+                left = text[start:begin]
+            if bpe:
+                known = self.neighbours(left)
+            else:
+                so_far = best[begin]
+            for end in range(begin + 1, min(n, begin + longest) + 1):
+                piece = text[begin:end]
+                if piece not in prefixes:
+                    break
+                if bpe:
+                    if end not in back and (piece in scores or end == begin + 1):
+                        ok = known.get(piece)
+                        if self.fits(left, piece, known) if ok is None else ok:
+                            back[end] = begin
+                else:
+                    score = scores.get(piece, self.unknown if end == begin + 1 else None)
+                    if score is not None and (end not in back or so_far + score > best[end]):
+                        back[end], best[end] = begin, so_far + score
+            if begin - done >= _COMMIT_EVERY and begin % 64 == 0:
+                until = self._meeting(back, begin)
+                if until > done:
+                    out = self._trace(text, back, done, until)
+                    yield from out
+                    # Starts before the boundary belong to paths that are gone.
+                    back = {p: b for p, b in back.items() if p > until and b >= until} | {until: until - len(out[-1])}
+                    best = {p: best[p] for p in back if p in best}
+                    done, left = until, out[-1]
+                    if begin > until:
+                        left = text[back[begin] : begin] if begin in back else left
+        yield from self._trace(text, back, done, n)
+
+    @staticmethod
+    def _meeting(back: dict[int, int], at: int) -> int:
+        """The boundary in which the paths to ``at`` and to every later position meet."""
+        alive = {p for p in back if p >= at}
+        while len(alive) > 1:
+            last = max(alive)
+            alive.remove(last)
+            alive.add(back[last])
+        return alive.pop()
+
+    @staticmethod
+    def _trace(text: str, back: dict[int, int], done: int, end: int) -> list[str]:
+        out = []
+        while end > done:
+            out.append(text[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
+    def unit(self, text: str) -> array:
+        """Ids of a stretch that starts and ends at boundaries of every path."""
+        found = self._memo.get(text)
+        if found is not None:
+            return found
+        # A space and the literal mark for it differ: the mark itself is written as bytes, so decoding is exact.
+        marked = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
+        ids = array("i")
+        for piece in self.search(marked):
+            number = self.ids.get(piece)
+            if number is not None:
+                ids.append(number)
+            else:
+                raw = SPACE if piece == _LITERAL else piece
+                ids.extend(self.bytes[b] for b in raw.encode("utf-8", "surrogatepass"))
+        if len(text) <= 64:
+            if len(self._memo) > _MEMO:
+                self._memo.clear()
+            self._memo[text] = ids
+        return ids
+
+    def encode(self, text: str) -> array:
+        if not text:
+            return array("i")
+        marked = " " + text if self.prefix else text
+        if not self.cuts_at_space:
+            return self.unit(marked)
+        ids, unit = array("i"), self.unit
+        for part in self._units.findall(marked):
+            ids.extend(unit(part))
+        return ids
+
+    def decode(self, ids: Iterator[int]) -> str:
+        out, pending, pieces, byte_of = [], bytearray(), self.pieces, self.byte_of
+        for i in ids:
+            value = byte_of.get(i)
+            if value is not None:
+                pending.append(value)
+                continue
+            if pending:
+                out.append(pending.decode("utf-8", "surrogatepass").replace(SPACE, _LITERAL))
+                pending = bytearray()
+            out.append(pieces[i])
+        if pending:
+            out.append(pending.decode("utf-8", "surrogatepass").replace(SPACE, _LITERAL))
+        text = "".join(out).replace(SPACE, " ").replace(_LITERAL, SPACE)
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+
+def encode(
+    docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+) -> DataFrame:
+    """``doc_id, n_ids, ids, round_trip`` per row (and ``text`` again), without a shuffle.
+
+    ``round_trip`` tells that decoding the ids gives the text back. Whole texts
+    are encoded. A null or empty text has no ids. Null ids and repeated rows stay;
+    an empty table gives no rows; other columns are not read. The model file is
+    read on the driver and sent along: its size is fixed, half a megabyte here.
+    """
+    with open(model, "rb") as file:
+        data = docs.sparkSession.sparkContext.broadcast(file.read())
+    fields = [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]
+    schema = pa.schema(fields + [("text", pa.string())] * with_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Model(data.value)
+
+        def rows():
+            for doc, text in rows_of(batches, "doc_id", "text"):
+                ids = tokenizer.encode(text)
+                row = (doc, len(ids), memory(ids), tokenizer.decode(ids) == text)
+                yield (*row, text) if with_text else row
+
+        yield from batched(rows(), schema, 200)
+
+    ddl = "doc_id long, n_ids long, ids array<int>, round_trip boolean" + ", text string" * with_text
+    return texts(docs, id_col, text_col).mapInArrow(run, ddl)
+
+
+def memory(ids: array):
+    """The ids as an array that Arrow reads without a Python object per id."""
+    import numpy as np
+
+    return np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
+
+
+def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``doc_id, text`` from ids; null ids decode to an empty text. No shuffle."""
+    with open(model, "rb") as file:
+        data = encoded.sparkSession.sparkContext.broadcast(file.read())
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Model(data.value)
+        rows = ((doc, tokenizer.decode(ids or [])) for doc, ids in rows_of(batches, "doc_id", "ids"))
+        yield from batched(rows, schema, 200)
+
+    chosen = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return chosen.mapInArrow(run, "doc_id long, text string")
