@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageloom.llm import classifier, line_quality, mixing, sentencepiece, url_filter
+from passageloom.llm import classifier, exact_dedup, line_quality, mixing, sentencepiece, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,19 @@ def op1_sentencepiece(spark, d):
     return sentencepiece.encode(table(spark, d, "documents"))
 
 
+@query
+def op2_exact_dedup(spark, d):
+    return exact_dedup.deduplicate(table(spark, d, "documents"))
+
+
+SQL["op2_exact_dedup"] = """
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
+FROM rows JOIN groups USING (text)
+"""
+
+
 @query
 def op3_line_quality(spark, d):
     return line_quality.clean_documents(table(spark, d, "documents"), with_text=False)
