@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageloom.llm import classifier, exact_dedup, line_quality, mixing, sentencepiece, url_filter
+from passageloom.llm import classifier, exact_dedup, line_quality, mixing, near_dedup, sentencepiece, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,8 @@ SELECT page_id, host, path,
   strict_hits, soft_hits
 FROM hits
 """
+
+
+@query
+def op8_near_dedup(spark, d):
+    return near_dedup.group_near_copies(table(spark, d, "documents"))
