@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageloom.llm import classifier, exact_dedup, line_quality, mixing, near_dedup, sentencepiece, url_filter
+from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, sentencepiece, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,10 @@ FROM hits
 @query
 def op8_near_dedup(spark, d):
     return near_dedup.group_near_copies(table(spark, d, "documents"))
+
+
+@query
+def op9_language_model(spark, d):
+    docs = table(spark, d, "documents")
+    scored = language_model.score_documents(docs, ~held_out(docs["doc_id"], 7))
+    return scored.withColumn("held_out", held_out(scored["doc_id"], 7))
