@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, sentencepiece, url_filter
+from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, pieces, secret_scan, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +30,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 @query
 def op1_sentencepiece(spark, d):
-    return sentencepiece.encode(table(spark, d, "documents"))
+    return pieces.encode(table(spark, d, "documents"))
 
 
 @query
@@ -193,3 +194,54 @@ def op9_language_model(spark, d):
     docs = table(spark, d, "documents")
     scored = language_model.score_documents(docs, ~held_out(docs["doc_id"], 7))
     return scored.withColumn("held_out", held_out(scored["doc_id"], 7))
+
+
+@query
+def op10_secret_scan(spark, d):
+    scanned = secret_scan.scan(table(spark, d, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return scanned.select(
+        "doc_id",
+        *(count(kind) for kind in secret_scan.BASE_KINDS),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("found")).alias("spans"),
+    )
+
+
+def _rule_sql(number: int, rule: secret_scan.Rule) -> str:
+    pattern = _like(("(?i)" if rule.any_case else "") + rule.pattern)
+    return f"""
+  SELECT rid, {number} AS rank, '{rule.kind}' AS kind, first, first + length(match) AS last
+  FROM (
+    SELECT rid, match, caught,
+      sum(length(gap)) OVER (PARTITION BY rid ORDER BY i)
+        + coalesce(sum(length(match)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS first
+    FROM (
+      SELECT rid, generate_subscripts(gaps, 1) AS i, unnest(gaps) AS gap, unnest(matches) AS match, unnest(groups) AS caught
+      FROM (
+        SELECT rid, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS matches,
+          regexp_extract_all(text, '{pattern}', {rule.group}) AS groups
+        FROM base WHERE regexp_matches(text, '{pattern}'))))
+  WHERE match IS NOT NULL AND length(caught) >= {rule.least}"""
+
+
+_all_rules = " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(secret_scan.RULES))
+_is_base = f"kind IN ({', '.join(repr(k) for k in secret_scan.BASE_KINDS)})"
+_span = "kind || ':' || CAST(CAST(first AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(last AS BIGINT) AS VARCHAR)"
+SQL["op10_secret_scan"] = f"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+found AS ({_all_rules}),
+by_doc AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_scan.BASE_KINDS)},
+    string_agg({_span}, ',' ORDER BY first, rank) FILTER ({_is_base}) AS base_spans,
+    string_agg({_span}, ',' ORDER BY first, rank) AS spans
+  FROM found GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE_KINDS)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM base LEFT JOIN by_doc USING (rid)
+"""
