@@ -77,7 +77,10 @@ def duplicates(lists: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def ask_owners(
-    messages: DataFrame, owners: int, answer: Callable[[list[np.ndarray], pd.DataFrame], list[bytes]]
+    messages: DataFrame,
+    owners: int,
+    answer: Callable[[list[np.ndarray], pd.DataFrame], list[bytes]],
+    dropped_bits: int = 0,
 ) -> DataFrame:
     """``part, block, owner, reply`` for every message (``part, block, owner, keys`` and more columns).
 
@@ -87,7 +90,7 @@ def ask_owners(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = lowest(int(pdf["owner"].iloc[0]), owners)
+        low = lowest(int(pdf["owner"].iloc[0]), owners) >> dropped_bits
         lists = [unpack(keys, low) for keys in pdf["keys"]]
         return pd.DataFrame(
             {"part": pdf["part"], "block": pdf["block"], "owner": pdf["owner"], "reply": answer(lists, pdf)}

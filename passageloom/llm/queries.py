@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, pieces, secret_scan, url_filter
+from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,11 @@ FROM hits
 """
 
 
+@query
+def op7_suffix_dedup(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents"))
+
+
 @query
 def op8_near_dedup(spark, d):
     return near_dedup.group_near_copies(table(spark, d, "documents"))
