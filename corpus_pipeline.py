@@ -1,12 +1,52 @@
-"""From raw documents to a mixed, deduplicated, tokenized training set, stage by stage."""
+"""From raw documents to a mixed, deduplicated and tokenized training set, stage by stage.
+
+Every function takes ``(spark, docs, sf_dir)``; all but the last return the
+columns of ``docs``. SQL can't express the classifier, so there is none for
+the result; ``tests/llm`` hold it against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from passageloom.llm import classifier, exact_dedup, mixing, near_dedup, pieces
+from passageloom.llm.common import held_out, table
+from passageloom.session import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, doesn't reject."""
+    labels = table(spark, sf_dir, "labels")
+    return classifier.keep_good(docs, labels.filter(~held_out(labels["doc_id"], 4)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.distinct_documents(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, at a similarity of 0.8 of five-word shingles."""
+    return near_dedup.drop_near_copies(docs, settings=near_dedup.Settings(percent=80, distance=27))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of every source as often as its weight asks for."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_ids, ids, round_trip`` of every document of the mix."""
+    return pieces.encode(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encode", encode)]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passageloom.llm.exchange import ask_owners, mark_duplicates, pack, lowest, split
-from passageloom.llm.parts import numbered, store_parts
+from passageloom.llm.common import texts
+from passageloom.llm.exchange import ask_owners, lowest, mark_duplicates, pack, split
+from passageloom.llm.parts import numbered, store_documents, store_parts, unpack_documents
 from passageloom.operators.joins import spread_join
 from passageloom.session import materialize
 
@@ -45,8 +46,32 @@ def _suspects(rows: DataFrame, owners: int) -> DataFrame:
     return prints.groupBy("part").cogroup(replies.groupBy("part")).applyInPandas(receive, "part int, flags binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` of every row, with the columns ``keep`` of ``docs``.
+def _marked(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` with ``suspect``: whether another row may have the same text."""
+    owners = rows.count() // OWNER_KEYS + 1
+    flags = materialize(_suspects(rows, owners), "flags")
+    # One byte a row, so that a place is found without a search.
+    suspect = F.substring("flags", F.col("pos").cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    return rows.join(flags, "part").withColumn("suspect", suspect).drop("flags")
+
+
+def _groups(marked: DataFrame, *more) -> DataFrame:
+    """``fp, sha, stays, group_size`` of the suspects, after a comparison of their bytes."""
+    row = F.struct("doc_id", "part", "pos")
+    groups = marked.filter("suspect").groupBy("fp", "sha").agg(
+        F.max(row).alias("stays"), F.count(F.lit(1)).alias("group_size"), F.min("text").alias("text"),
+        F.max("text").alias("last"), *more,
+    )
+    differ = F.raise_error(F.lit("two texts share a fingerprint and a SHA-256"))
+    return groups.withColumn("stays", F.when(F.col("text") == F.col("last"), F.col("stays")).otherwise(differ)).drop("last")
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"fp": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256))})
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` of every row.
 
     Rows with identical texts form a group, in which the row with the largest id
     stays. Every partition sends its sorted, distinct 64-bit fingerprints to the
@@ -59,38 +84,29 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smaller than any; of rows with equal ids and texts one stays. An empty table
     gives no rows; columns of ``docs`` with clashing names are not read.
     """
-    chosen = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.struct(*(F.col(c) for c in keep)).alias("_keep") if keep else F.lit(None).cast("int").alias("_keep"),
-    )
-    rows = store_parts(
-        numbered(chosen).withColumns({"fp": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256))}), "texts"
-    )
-    owners = rows.count() // OWNER_KEYS + 1
-    flags = materialize(_suspects(rows, owners), "flags")
-    # One byte a row, so that a place is found without a search.
-    suspect = F.substring("flags", F.col("pos").cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    flagged = rows.join(flags, "part").withColumn("suspect", suspect).drop("flags")
-
+    marked = _marked(store_parts(_prints(numbered(texts(docs, id_col, text_col))), "texts"))
+    groups = materialize(_groups(marked).drop("text"), "groups")
     row = F.struct("doc_id", "part", "pos")
-    groups = flagged.filter("suspect").groupBy("fp", "sha").agg(
-        F.max(row).alias("stays"), F.count(F.lit(1)).alias("group_size"), F.min("text").alias("a"), F.max("text").alias("z")
-    )
-    differ = F.raise_error(F.lit("two texts share a fingerprint and a SHA-256"))
-    groups = materialize(
-        groups.withColumn("stays", F.when(F.col("a") == F.col("z"), F.col("stays")).otherwise(differ)).drop("a", "z"),
-        "groups",
-    )
-    columns = ["part", "pos", "doc_id", "fp", "sha", "_keep"]
-    found = spread_join(flagged.filter("suspect").select(*columns), groups, ["fp", "sha"], ["part", "pos"], "inner")
-    alone = flagged.filter("not suspect").select(*columns).withColumns({"stays": row, "group_size": F.lit(1).cast("long")})
-    both = found.select(*columns, "stays", "group_size").unionByName(alone)
-    return both.select(
+    columns = ["part", "pos", "doc_id", "fp", "sha"]
+    found = spread_join(marked.filter("suspect").select(*columns), groups, ["fp", "sha"], ["part", "pos"])
+    alone = marked.filter("not suspect").select(*columns).withColumns({"stays": row, "group_size": F.lit(1).cast("long")})
+    return found.select(*columns, "stays", "group_size").unionByName(alone).select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
         "group_size",
         (F.col("stays") == row).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        *(F.col(f"_keep.{c}").alias(c) for c in keep),
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; cases as in ``deduplicate``.
+
+    A null text comes out as an empty one. The row that stays of a group travels in
+    the group's aggregate, so there is no second join.
+    """
+    filled = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    marked = _marked(_prints(store_documents(filled, id_col, text_col, "texts")))
+    whole = F.max_by("_row", F.struct("doc_id", "part", "pos")).alias("_row")
+    groups = _groups(marked, whole).filter("stays is not null").select("text", "_row")
+    return unpack_documents(marked.filter("not suspect").select("text", "_row").unionByName(groups), docs, text_col)

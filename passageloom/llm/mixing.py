@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passageloom.llm.common import WORD
+from passageloom.llm.parts import bring_digits, store_documents, unpack_documents
 from passageloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -151,6 +152,7 @@ def mix(
     slots = _before(slots.withColumn("_all", F.lit(0)), ["_all"], "_slot", "_words", "_sum")
     cut = slots.filter(F.col("_sum") + F.col("_words") >= F.col("total")).orderBy("_slot").select("_slot", "_sum").first()
     taken = F.lit(0).cast("long")
+    # Every copy is taken if their words are just the budget, and none if there are no words.
     if cut is not None:
         slot, words = cut
         by_finish = Window.partitionBy("_slot").orderBy("_finish", "rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -170,3 +172,20 @@ def mix(
     return queued.select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *kept
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns; cases as in ``mix``."""
+    rows = store_documents(docs, id_col, text_col, "documents", source_col)
+    mixed = mix(rows, "doc_id", "text", "source", weights, max_epochs, keep=("part", "pos"))
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").cast("string")
+    taken = bring_digits(rows, mixed.select("part", "pos", copies.alias("digit")), "_copies").filter("_copies > '0'")
+    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return unpack_documents(repeated, docs, text_col)

@@ -33,3 +33,32 @@ def store_parts(df: DataFrame, name: str) -> DataFrame:
         .bucketBy(min(buckets, 100_000), "part").saveAsTable(table)
     )
     return spark.table(table)
+
+
+def store_documents(docs: DataFrame, id_col: str, text_col: str, name: str, source_col: str | None = None) -> DataFrame:
+    """``part, pos, doc_id, text, _row`` with the whole row of ``docs`` but its text in ``_row``.
+
+    ``unpack_documents`` gives the columns of ``docs`` back.
+    """
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    if source_col:
+        columns.append(F.col(source_col).alias("source"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return store_parts(numbered(docs.select(*columns, F.struct(*others).alias("_row"))), name)
+
+
+def unpack_documents(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` in their order from ``text`` and ``_row``."""
+    return rows.select(*(F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def bring_digits(rows: DataFrame, digits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the one-character ``digit`` that ``digits`` (``part, pos, digit``) has for each of them.
+
+    A part's digits become one string, as long as the part has rows, and a row
+    picks its own by its place; the rows themselves stay where they are.
+    """
+    lists = digits.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "digit"))).alias("_list"))
+    strings = lists.select("part", F.array_join(F.transform("_list", lambda x: x["digit"]), "").alias("_digits"))
+    picked = F.substring("_digits", (F.col("pos") + 1).cast("int"), F.lit(1))
+    return rows.join(strings, "part").withColumn(name, picked).drop("_digits")

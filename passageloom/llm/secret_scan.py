@@ -51,8 +51,30 @@ RULES = (
 BASE_KINDS = ("assign", "access", "hex")
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of ``pattern`` between the bars that are outside groups and classes."""
+    parts, depth, i, start = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        i += 1
+    return [*parts, pattern[start:]]
+
+
 def _literals(pattern: str) -> list[list[str]]:
-    """For each alternative way to match, the literal strings in it.
+    """For each alternative way to match, the literal strings in it."""
+    return [way for part in _alternatives(pattern) for way in _ways(part)]
+
+
+def _ways(pattern: str) -> list[list[str]]:
+    """The same for a pattern without bars outside groups.
 
     Understands groups of alternatives, optional characters and character
     classes; whatever else may stand for any text, it takes for a gap.
@@ -83,7 +105,7 @@ def _literals(pattern: str) -> list[list[str]]:
             if "(" in inner or optional or "[" in inner:
                 gap()
             else:
-                options = [option for part in inner.split("|") for option in _literals(part)]
+                options = _literals(inner)
                 ways = [
                     [*way[:-1], way[-1] + option[0], *option[1:]] for way in ways for option in options
                 ]
