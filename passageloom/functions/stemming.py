@@ -4,7 +4,7 @@ common Python scorers use. Applied per distinct token on Arrow batches."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,8 +135,8 @@ def _stem(words: pd.Series) -> pd.Series:
     return words.map(porter_stem, na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_long(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def long_stems() -> Callable[[Iterable[str]], list[str]]:
+    """A function that stems every token of more than three characters; it remembers a bounded number of stems."""
     known: dict[str, str] = {}
 
     def stemmed(word: str) -> str:
@@ -148,15 +148,10 @@ def _stem_long(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known[word] = porter_stem(word)
         return known[word]
 
-    for texts in batches:
-        yield texts.map(lambda words: [stemmed(word) for word in words], na_action="ignore")
+    return lambda words: [stemmed(word) for word in words]
 
 
 def stem(col: Column) -> Column:
     """Stem of each word."""
     return _stem(col)
 
-
-def stem_tokens(col: Column) -> Column:
-    """Token arrays with every token of more than three characters stemmed."""
-    return _stem_long(col)

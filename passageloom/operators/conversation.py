@@ -1,8 +1,9 @@
 """Operators on message logs ``(conv_id, turn, role, text)``.
 
-``turn`` is the position of a message in its conversation: 0, 1, 2, ... . So
-"the message after" and "the last n before" are equi-joins on
-``(conv_id, turn)``, which spread even one huge conversation over all tasks.
+``turn`` orders the messages of a conversation and may have gaps. Messages are
+numbered densely where neighbours matter; "the message after" and "the last n
+before" are then equi-joins on ``(conv_id, position)``, which spread even one
+huge conversation over all tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passageloom.functions.text import strip_space
 from passageloom.operators.joins import spread_join
+from passageloom.operators.ordering import running_total
 
 
 def _check_n(n: int) -> None:
@@ -40,18 +42,25 @@ def history_since_clear(df: DataFrame, is_clear: Column) -> DataFrame:
     return marked.filter(F.col("_cleared").isNull() | (F.col("turn") > F.col("_cleared"))).select(*df.columns)
 
 
-def last_questions(messages: DataFrame) -> DataFrame:
-    """The last user message of each conversation as ``(query_id, turn, text)``."""
-    newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return (
-        messages.filter(F.col("role") == "user")
-        .withColumn("_back", F.row_number().over(newest))
-        .filter("_back = 1")
-        .select(F.col("conv_id").alias("query_id"), "turn", "text")
-    )
+def positions(messages: DataFrame) -> DataFrame:
+    """Adds ``position``: 0, 1, 2, ... in the order of ``turn``, without gaps. ``(conv_id, turn)`` is unique."""
+    ones = messages.withColumn("_one", F.lit(1))
+    return running_total(ones, ["conv_id"], ["turn"], "_one", "position").drop("_one")
+
+
+def user_questions(numbered: DataFrame) -> DataFrame:
+    """Every user message of ``positions`` as ``(query_id, conv_id, turn, position, text)``."""
+    query_id = F.concat_ws("/", "conv_id", "turn").alias("query_id")
+    return numbered.filter(F.col("role") == "user").select(query_id, "conv_id", "turn", "position", "text")
 
 
-def history_before(questions: DataFrame, messages: DataFrame, n: int = 5, include_current: bool = True) -> DataFrame:
+def unanswered(questions: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Questions without an assistant message directly after them."""
+    answers = numbered.filter(F.col("role") == "assistant").select("conv_id", (F.col("position") - 1).alias("position"))
+    return questions.join(answers, ["conv_id", "position"], "left_anti")
+
+
+def history_before(questions: DataFrame, numbered: DataFrame, n: int = 5, include_current: bool = True) -> DataFrame:
     """Up to ``n`` messages that end with each question (or just before it), as ``(query_id, turn, role, text)``.
 
     A question names the ``n`` positions it needs, so nothing but those messages is joined.
@@ -59,10 +68,11 @@ def history_before(questions: DataFrame, messages: DataFrame, n: int = 5, includ
     _check_n(n)
     skip = 0 if include_current else 1
     wanted = questions.select(
-        F.col("query_id").alias("conv_id"),
-        F.explode(F.sequence(F.col("turn") - (n - 1 + skip), F.col("turn") - skip)).alias("turn"),
-    ).filter("turn >= 0")
-    return wanted.join(messages, ["conv_id", "turn"]).select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
+        "query_id",
+        "conv_id",
+        F.explode(F.sequence(F.col("position") - (n - 1 + skip), F.col("position") - skip)).alias("position"),
+    ).filter("position >= 0")
+    return wanted.join(numbered, ["conv_id", "position"]).select("query_id", "turn", "role", "text")
 
 
 def format_history(df: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -72,19 +82,16 @@ def format_history(df: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def pair_turns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each user message with the assistant message directly after it.
+    """Each user message with the assistant message directly after it, whatever the gaps in ``turn``.
 
-    ``keep`` names further columns to take from the assistant message. The
-    same join runs on streams: both sides are then kept as keyed state.
+    ``keep`` names further columns to take from the assistant message.
     """
-    asked = df.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next")
-    )
-    answered = df.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"), *keep
+    numbered = positions(df)
+    asked = numbered.filter(F.col("role") == "user").select("conv_id", "turn", "position", F.col("text").alias("question"))
+    answered = numbered.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("position") - 1).alias("position"), F.col("text").alias("answer"), *keep
     )
-    same = (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn"))
-    return asked.join(answered, same).select("conv_id", "turn", "question", "answer", *keep)
+    return asked.join(answered, ["conv_id", "position"]).select("conv_id", "turn", "question", "answer", *keep)
 
 
 def route_canned(df: DataFrame, replies: dict[str, str], col: str = "question") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageloom.functions.text import clean_page_text
+from passageloom.operators.joins import spread_join
 
 # Fixed value: the marker that stands for unreadable pages.
 UNREADABLE = "Unable to Extract"
@@ -30,19 +31,18 @@ def assemble_pages(
     if mode not in ("reference", "skip"):
         raise ValueError(f"unknown mode: {mode}")
     text = clean_page_text(F.col(text_col))
-    grouped = pages.groupBy(file_col).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col(text_col).isNotNull(), F.struct(F.col(page_col).alias("no"), text.alias("text"))))
-        ).alias("good"),
-        F.max(F.when(F.col(text_col).isNull(), F.col(page_col))).alias("failed"),
-    )
+    failed = pages.groupBy(file_col).agg(F.max(F.when(F.col(text_col).isNull(), F.col(page_col))).alias("_failed"))
+    readable = spread_join(pages, failed, [file_col], [page_col]).filter(F.col(text_col).isNotNull())
+    if mode == "reference":
+        # Only pages that stay are collected.
+        readable = readable.filter(F.col("_failed").isNull() | (F.col(page_col) > F.col("_failed")))
+    lines = F.sort_array(F.collect_list(F.struct(F.col(page_col).alias("no"), text.alias("text"))))
+    joined = readable.groupBy(file_col).agg(F.transform(lines, lambda p: p["text"]).alias("_parts"))
+    parts = F.coalesce("_parts", F.array().cast("array<string>"))
     if mode == "reference":
-        kept = F.filter("good", lambda p: F.col("failed").isNull() | (p["no"] > F.col("failed")))
-        marker = F.when(F.col("failed").isNotNull(), F.array(F.lit(UNREADABLE))).otherwise(F.array().cast("array<string>"))
-        parts = F.concat(marker, F.transform(kept, lambda p: p["text"]))
-    else:
-        parts = F.transform("good", lambda p: p["text"])
-    texts = grouped.select(file_col, F.array_join(parts, sep).alias(text_col))
+        marker = F.when(F.col("_failed").isNotNull(), F.array(F.lit(UNREADABLE))).otherwise(F.array().cast("array<string>"))
+        parts = F.concat(marker, parts)
+    texts = failed.join(joined, file_col, "left").select(file_col, F.array_join(parts, sep).alias(text_col))
     if files is None:
         return texts
     return (

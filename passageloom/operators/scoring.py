@@ -1,11 +1,14 @@
-"""BLEU and ROUGE of (reference, candidate) pairs.
+"""BLEU and ROUGE of (reference, candidate) pairs, row by row.
 
-The two texts of a pair are hashed once on ``pair_id``; n-grams are counted,
-matched and summed where they lie, so the many n-gram rows never move.
+Nothing crosses rows: both texts of a pair are tokenized in the JVM, and one
+Arrow function stems, counts and matches them. No pair is moved, and pairs need
+no key: rows with the same or no id are scored like any other.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,57 +16,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passageloom.functions.stemming import stem, stem_tokens
-from passageloom.functions.text import ngrams, tokens
+from passageloom.functions.stemming import long_stems, stem
+from passageloom.functions.text import tokens
 from passageloom.functions.words import common_subsequence
-from passageloom.operators.joins import place
 
 BLEU_ORDERS = (1, 2, 3, 4)
 SCORES = ["bleu", "rouge1", "rouge2", "rouge_l"]
 
 
-def ngram_counts(df: DataFrame, n: int, key: str = "pair_id", text: str = "text", tokenizer: str = "unicode") -> DataFrame:
-    """``(key, gram, n_grams)``: how often each n-gram occurs in each text."""
-    placed = place(df.select(key, text), key).withColumn("_tokens", tokens(F.col(text), tokenizer))
-    grams = placed.select(key, F.explode(ngrams(F.col("_tokens"), n)).alias("gram"))
-    return grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n_grams"))
+def _grams(toks: list[str], n: int) -> Counter:
+    return Counter(zip(*(toks[i:] for i in range(n))))
+
 
+_GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("n_grams", T.LongType())])
 
-@F.pandas_udf(T.LongType())
-def _subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([common_subsequence(list(a), list(b)) for a, b in zip(left, right)], dtype="int64")
 
+@F.pandas_udf(T.ArrayType(_GRAM))
+def _counted(toks: pd.Series, n: pd.Series) -> pd.Series:
+    found = (_grams(list(t), k) for t, k in zip(toks, n))
+    return pd.Series([[{"gram": " ".join(g), "n_grams": c} for g, c in grams.items()] for grams in found], dtype=object)
 
-def _tokenized(pairs: DataFrame, name: str, tokenizer: str, stemmed: bool) -> DataFrame:
-    for side, column in (("c", "candidate"), ("r", "reference")):
-        toks = tokens(F.col(column), tokenizer)
-        pairs = pairs.withColumn(f"{name}_{side}", stem_tokens(toks) if stemmed else toks)
-    return pairs
 
+def ngram_counts(df: DataFrame, n: int, key: str = "pair_id", text: str = "text", tokenizer: str = "unicode") -> DataFrame:
+    """``(key, gram, n_grams)``: how often each n-gram occurs in each text, text by text."""
+    return df.select(key, F.inline(_counted(tokens(F.col(text), tokenizer), F.lit(n))))
 
-def _marked(grams: Column, kind: str, side: str) -> Column:
-    """Each n-gram with its kind and a one for the side it comes from."""
-    c, r = F.lit(int(side == "c")), F.lit(int(side == "r"))
-    return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram"), c.alias("c"), r.alias("r")))
 
+def _overlap(orders: dict[str, tuple[int, ...]], subsequence: bool, stemmed: bool):
+    """An Arrow function of the BLEU tokens and the ROUGE tokens of a pair.
 
-def _overlaps(placed: DataFrame, orders: dict[str, tuple[int, ...]]) -> DataFrame:
-    """Per pair, for each token column ``name`` and order ``n``: ``name_n_hit``, ``name_n_c``, ``name_n_r``."""
-    grams = [
-        _marked(ngrams(F.col(f"{name}_{side}"), n), f"{name}_{n}", side)
-        for name, ns in orders.items()
-        for n in ns
-        for side in ("c", "r")
-    ]
-    rows = placed.select("pair_id", F.inline_outer(F.concat(*grams)))
-    counted = rows.groupBy("pair_id", "kind", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    sums = []
-    for name, ns in orders.items():
-        for n in ns:
-            mine = F.col("kind") == f"{name}_{n}"
-            for label, value in (("hit", F.least("c", "r")), ("c", F.col("c")), ("r", F.col("r"))):
-                sums.append(F.coalesce(F.sum(F.when(mine, value)), F.lit(0)).alias(f"{name}_{n}_{label}"))
-    return counted.groupBy("pair_id").agg(*sums)
+    Its struct has, for each token kind ``name`` and order ``n``, ``name_n_hit``,
+    ``name_n_c`` and ``name_n_r``; with ``subsequence`` also ``lcs``.
+    """
+    names = [f"{name}_{n}_{label}" for name, ns in orders.items() for n in ns for label in ("hit", "c", "r")]
+    names += ["lcs"] * subsequence
+
+    @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in names]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        stems = long_stems() if stemmed else list
+        for batch in batches:
+            rows = []
+            for b_c, b_r, r_c, r_r in zip(*batch):
+                sides = {"b": (list(b_c), list(b_r)), "r": (stems(r_c), stems(r_r))}
+                row = []
+                for name, ns in orders.items():
+                    for n in ns:
+                        c, r = (_grams(side, n) for side in sides[name])
+                        row += [sum((c & r).values()), c.total(), r.total()]
+                rows.append([*row, common_subsequence(*sides["r"])] if subsequence else row)
+            yield pd.DataFrame(rows, columns=names, dtype="int64")
+
+    return run
+
+
+def _overlaps(
+    pairs: DataFrame,
+    orders: dict[str, tuple[int, ...]],
+    subsequence: bool = False,
+    bleu_tokenizer: str = "13a",
+    tokenizer: str = "ascii",
+    stemmed: bool = False,
+) -> DataFrame:
+    """``pairs`` with the overlap columns; token kinds that are not asked for are not made."""
+    none = F.array().cast("array<string>")
+
+    def sides(used: bool, kind: str) -> list[Column]:
+        return [tokens(F.col(c), kind) if used else none for c in ("candidate", "reference")]
+
+    toks = sides("b" in orders, bleu_tokenizer) + sides("r" in orders or subsequence, tokenizer)
+    counted = _overlap(orders, subsequence, stemmed)(*toks)
+    return pairs.withColumn("_overlap", counted).select(*pairs.columns, "_overlap.*")
 
 
 def _bleu(name: str) -> Column:
@@ -97,37 +119,28 @@ def _rouge(name: str, n: int) -> Column:
     return _f_measure(*[F.col(f"{name}_{n}_{label}") for label in ("hit", "c", "r")])
 
 
-def _placed(pairs: DataFrame, name: str, tokenizer: str, stemmed: bool) -> DataFrame:
-    """Pairs hashed on ``pair_id``, with their tokens.
-
-    Spark does not know where the output of Python lies, so stemming comes
-    before the placement. Other tokens come after it: the text is smaller.
-    """
-    if stemmed:
-        return place(_tokenized(pairs, name, tokenizer, True), "pair_id")
-    return _tokenized(place(pairs, "pair_id"), name, tokenizer, False)
-
-
 def score_bleu(pairs: DataFrame, tokenizer: str = "13a") -> DataFrame:
     """``(pair_id, bleu)``: sentence BLEU with up to four orders."""
-    overlaps = _overlaps(_placed(pairs, "b", tokenizer, False), {"b": BLEU_ORDERS})
+    overlaps = _overlaps(pairs.select("pair_id", "reference", "candidate"), {"b": BLEU_ORDERS}, bleu_tokenizer=tokenizer)
     return overlaps.select("pair_id", _bleu("b").alias("bleu"))
 
 
 def score_rouge_n(pairs: DataFrame, n: int, tokenizer: str = "ascii", stemmed: bool = True) -> DataFrame:
     """``(pair_id, rouge<n>)``: F measure of matching n-grams."""
-    overlaps = _overlaps(_placed(pairs, "r", tokenizer, stemmed), {"r": (n,)})
+    pairs = pairs.select("pair_id", "reference", "candidate")
+    overlaps = _overlaps(pairs, {"r": (n,)}, tokenizer=tokenizer, stemmed=stemmed)
     return overlaps.select("pair_id", _rouge("r", n).alias(f"rouge{n}"))
 
 
 def _rouge_l() -> Column:
-    return _f_measure(_subsequence("r_c", "r_r"), F.size("r_c"), F.size("r_r"))
+    return _f_measure(F.col("lcs"), F.col("r_1_c"), F.col("r_1_r"))
 
 
 def score_rouge_l(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True) -> DataFrame:
     """``(pair_id, rouge_l)``: F measure of the longest common subsequence of tokens."""
-    placed = _tokenized(pairs.select("pair_id", "reference", "candidate"), "r", tokenizer, stemmed)
-    return placed.select("pair_id", _rouge_l().alias("rouge_l"))
+    pairs = pairs.select("pair_id", "reference", "candidate")
+    overlaps = _overlaps(pairs, {"r": (1,)}, True, tokenizer=tokenizer, stemmed=stemmed)
+    return overlaps.select("pair_id", _rouge_l().alias("rouge_l"))
 
 
 def score_pairs(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True, bleu_tokenizer: str = "13a") -> DataFrame:
@@ -136,18 +149,14 @@ def score_pairs(pairs: DataFrame, tokenizer: str = "ascii", stemmed: bool = True
     The defaults are those of the usual scorers: 13a tokens for BLEU, stemmed
     lower-case ASCII tokens for ROUGE.
     """
-    placed = _placed(pairs, "r", tokenizer, stemmed)
-    if bleu_tokenizer == tokenizer and not stemmed:
-        name, orders = "r", {"r": BLEU_ORDERS}
-    else:
-        name, orders = "b", {"b": BLEU_ORDERS, "r": (1, 2)}
-        placed = _tokenized(placed, "b", bleu_tokenizer, False)
-    overlaps = _overlaps(placed, orders).select(
-        "pair_id", _bleu(name).alias("bleu"), _rouge("r", 1).alias("rouge1"), _rouge("r", 2).alias("rouge2")
+    overlaps = _overlaps(pairs, {"b": BLEU_ORDERS, "r": (1, 2)}, True, bleu_tokenizer, tokenizer, stemmed)
+    return overlaps.select(
+        *pairs.columns,
+        _bleu("b").alias("bleu"),
+        _rouge("r", 1).alias("rouge1"),
+        _rouge("r", 2).alias("rouge2"),
+        _rouge_l().alias("rouge_l"),
     )
-    # Also Python, so before the placement, which the join below then shares.
-    sequences = _tokenized(pairs, "r", tokenizer, stemmed).select(*pairs.columns, _rouge_l().alias("rouge_l"))
-    return place(sequences, "pair_id").join(overlaps, "pair_id").select(*pairs.columns, *SCORES)
 
 
 def stem_vocabulary(words: DataFrame, col: str = "token") -> DataFrame:

@@ -10,12 +10,14 @@ from passageloom.operators.conversation import (
     append_note,
     format_history,
     history_before,
-    last_questions,
+    positions,
     route_canned,
+    unanswered,
+    user_questions,
 )
 from passageloom.operators.index import Index
 from passageloom.operators.prompts import answer_prompt, request_rows
-from passageloom.operators.retrieval import context_block, hit_chunks, references, search_topk
+from passageloom.operators.retrieval import context_and_references, hit_chunks, search_topk
 from passageloom.session import materialize
 
 # Defaults and allowed models of the question form.
@@ -26,6 +28,7 @@ HISTORY = 5
 TEMPERATURE = 1.0
 MODELS = ["reka-core", "llama3.2-3b", "llama3.1-8b", "mistral-7b"]
 
+# The phrases with a reply of their own, and the word that calls for the note.
 CANNED = {
     "hola": "Hello! Ask me anything about the documents in this collection.",
     "gracias": "You are welcome. I am here whenever you have another question.",
@@ -36,12 +39,19 @@ MISSING = "Answer not available."
 FAILED = "The answer could not be generated."
 
 
-def open_questions(messages: DataFrame, words: int = QUESTION_WORDS) -> DataFrame:
-    """``(query_id, turn, asked, question, canned)`` of the last user message per conversation.
+def limited(messages: DataFrame, words: int = QUESTION_WORDS) -> DataFrame:
+    """Messages as the conversation keeps them: user texts are cut to ``words`` before they are stored."""
+    text = F.when(F.col("role") == "user", limit_words(F.col("text"), words)).otherwise(F.col("text"))
+    return messages.withColumn("text", text)
 
-    ``asked`` is limited in length; ``question`` also has its quotes removed.
+
+def open_questions(numbered: DataFrame) -> DataFrame:
+    """``(query_id, conv_id, turn, position, asked, question, canned)`` of the user messages without an answer.
+
+    ``numbered`` has limited texts and positions. ``question`` has no quotes;
+    ``canned`` is the fixed reply of a known phrase, else null.
     """
-    asked = last_questions(messages).select("query_id", "turn", limit_words(F.col("text"), words).alias("asked"))
+    asked = unanswered(user_questions(numbered), numbered).withColumnRenamed("text", "asked")
     return route_canned(asked.withColumn("question", strip_quotes(F.col("asked"))), CANNED, "asked")
 
 
@@ -54,27 +64,48 @@ def draft_answers(
     filter: dict | None = None,
     model: str = MODELS[0],
     temperature: float = TEMPERATURE,
+    expanded: DataFrame | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
-    """``(query_id, asked, question, prompt, references, request)`` of the questions without a fixed reply."""
+    """``(query_id, conv_id, turn, asked, question, canned, prompt, references, request)`` of every open question.
+
+    Questions with a fixed reply have no prompt and no request. ``expanded``
+    (``query_id, text``) replaces the search texts of its questions, for example by
+    replies to ``expansion_prompt``; ``hits`` (``query_id, rank, chunk,
+    relative_path``) replaces the ranked search, for example by filtered rows.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
-    questions = materialize(open_questions(messages).filter(F.col("canned").isNull()), "questions")
-    hits = search_topk(index, questions, k, filter, text_col="question")
-    found = materialize(hit_chunks(hits, chunks).select("query_id", "rank", "chunk", "relative_path"), "hits")
+    numbered = materialize(positions(limited(messages)), "messages")
+    questions = materialize(open_questions(numbered), "questions")
+    searched = questions.filter(F.col("canned").isNull())
+    if hits is None:
+        texts = searched.select("query_id", F.col("question").alias("text"))
+        if expanded is not None:
+            wider = expanded.select("query_id", F.col("text").alias("_wider"))
+            texts = texts.join(wider, "query_id", "left").select("query_id", F.coalesce("_wider", "text").alias("text"))
+        hits = hit_chunks(search_topk(index, texts, k, filter), chunks)
+    found = context_and_references(hits)
     histories = None
     if history is not None:
-        histories = format_history(history_before(questions, messages, history), "query_id")
-    prompts = request_rows(answer_prompt(questions, context_block(found), histories), model, temperature)
-    return (
-        questions.select("query_id", "asked")
-        .join(prompts, "query_id")
-        .join(references(found), "query_id", "left")
-        .select("query_id", "asked", "question", "prompt", F.coalesce("references", F.lit("")).alias("references"), "request")
+        histories = format_history(history_before(searched, numbered, history), "query_id")
+    carried = ["conv_id", "turn", "asked", "canned", "references"]
+    prompts = request_rows(answer_prompt(searched, found, histories, carried), model, temperature)
+    prompts = prompts.withColumn("references", F.coalesce("references", F.lit("")))
+    fixed = questions.filter(F.col("canned").isNotNull()).select(
+        *(F.col(c) if c in questions.columns else F.lit("" if c == "references" else None).cast("string").alias(c) for c in prompts.columns)
     )
+    columns = ["query_id", "conv_id", "turn", "asked", "question", "canned", "prompt", "references", "request"]
+    return prompts.unionByName(fixed).select(*columns)
 
 
 def finish_answers(drafts: DataFrame, replies: DataFrame, words: int = ANSWER_WORDS) -> DataFrame:
-    """``(query_id, question, answer, references)`` of drafts and ``(query_id, reply)`` model output."""
+    """``(query_id, conv_id, turn, question, answer, references)`` of drafts and ``(query_id, reply)`` model output.
+
+    A fixed reply is the answer as it stands; model replies are limited, escaped and get their note.
+    """
     answer = escape_dollar(limit_words(answer_or_error(F.col("reply"), MISSING, FAILED), words))
-    answered = drafts.join(replies, "query_id", "left").withColumn("answer", answer)
-    return append_note(answered, NOTE_KEYWORD, NOTE, "asked").select("query_id", "question", "answer", "references")
+    answered = append_note(drafts.join(replies, "query_id", "left").withColumn("answer", answer), NOTE_KEYWORD, NOTE, "asked")
+    return answered.select(
+        "query_id", "conv_id", "turn", "question", F.coalesce("canned", "answer").alias("answer"), "references"
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from passageloom.operators.prompts import ANSWER_INSTRUCTIONS, EXPAND_INSTRUCTIONS
 from passageloom.plans import registry as r
+from passageloom.plans.answers import ANSWER_WORDS, CANNED, FAILED, MISSING, NOTE, NOTE_KEYWORD, QUESTION_WORDS
 
 # White space and punctuation rules, in RE2 notation.
 _SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -94,9 +95,8 @@ hits AS MATERIALIZED (
   FROM scored QUALIFY rank <= 5)"""
 
 
-_LAST = """SELECT conv_id AS query_id, turn, text FROM conversations WHERE role = 'user'
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
-_HITS = (*_CORPUS, _POSTINGS, _search(_LAST))
+_ALL_ASKED = """SELECT conv_id || '/' || turn AS query_id, conv_id, turn, text FROM conversations WHERE role = 'user' """
+_HITS = (*_CORPUS, _POSTINGS, _search(_ALL_ASKED))
 _CONTEXT = """contexts AS (
   SELECT query_id, string_agg('Context document ' || rank || ': ' || chunk || ' ' || chr(10) || chr(10), '' ORDER BY rank) AS context
   FROM hits JOIN chunks USING (doc_id, chunk_no) GROUP BY query_id)"""
@@ -108,21 +108,36 @@ _QA = """qa AS (
   FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
-_ASKED_HISTORY = f"""last_asked AS ({_LAST}),
-histories AS (
-  SELECT query_id, string_agg(role || ': ' || m.text, chr(10) ORDER BY m.turn) AS history
-  FROM last_asked q JOIN conversations m ON m.conv_id = q.query_id AND m.turn BETWEEN q.turn - 4 AND q.turn
+_PLACES = """places AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM messages)"""
+
+
+def _histories(asked: str) -> str:
+    return f"""histories AS (
+  SELECT query_id, string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn) AS history
+  FROM {asked} q JOIN places p USING (conv_id, turn) JOIN places m ON m.conv_id = q.conv_id AND m.place BETWEEN p.place - 4 AND p.place
   GROUP BY query_id)"""
 
 
+_ASKED_HISTORY = (
+    f"last_asked AS ({_ALL_ASKED}),\nmessages AS (SELECT * FROM conversations),\n{_PLACES},\n" + _histories("last_asked")
+)
+
+
+def _first_words(text: str, n: int) -> str:
+    words = f"list_filter(regexp_split_to_array({text}, '{_SPACE}+'), lambda w: w <> '')"
+    return f"CASE WHEN len({words}) > {n} THEN array_to_string({words}[1:{n}], ' ') ELSE {text} END"
+
+
 def _section(tag: str, body: str) -> str:
     return f"'<{tag}>' || chr(10) || {body} || chr(10) || '</{tag}>' || chr(10)"
 
 
-def _log(numbered_from: str = "qa") -> str:
-    return f"""SELECT row_number() OVER (ORDER BY ts, conv_id, turn) AS id, question, answer,
+def _log(numbered_from: str = "qa", first: str = "", second: str = "next_turn") -> str:
+    return f"""SELECT row_number() OVER (ORDER BY {first} ts, conv_id, turn) AS id, question, answer,
        timezone('America/Bogota', timezone('America/Los_Angeles', ts)) AS logged_at
-FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(conv_id) + to_seconds(next_turn) AS ts FROM {numbered_from})"""
+FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(conv_id) + to_seconds({second}) AS ts FROM {numbered_from})"""
 
 
 # Evaluation
@@ -207,8 +222,49 @@ def _case(value: str, replies: dict[str, str]) -> str:
     return f"CASE {value} {whens} END"
 
 
+# From open questions to the log
+
+_OPEN = f"""messages AS MATERIALIZED (
+  SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {_first_words('text', QUESTION_WORDS)} ELSE text END AS text
+  FROM conversations),
+{_PLACES},
+opened AS MATERIALIZED (
+  SELECT conv_id || '/' || turn AS query_id, conv_id, turn, text AS asked, replace(text, '\'\'', '') AS question,
+         {_case(f"lower(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'))", CANNED)} AS canned
+  FROM places WHERE role = 'user' AND next_role IS DISTINCT FROM 'assistant')"""
+_DRAFTS = (
+    *_CORPUS, _POSTINGS, _OPEN, _search("SELECT query_id, question AS text FROM opened WHERE canned IS NULL"), _CONTEXT,
+    _histories("opened"),
+    f"""listed AS (
+  SELECT query_id, chr(10) || chr(10) || '**References:**' || chr(10)
+         || string_agg('- ' || relative_path || chr(10), '' ORDER BY rank) AS refs
+  FROM hits JOIN chunks USING (doc_id, chunk_no) GROUP BY query_id),
+prompted AS (
+  SELECT *, CASE WHEN canned IS NULL THEN '[INST]' || chr(10) || {_lit(ANSWER_INSTRUCTIONS)} || chr(10)
+       || {_section('chat_history', "coalesce(history, '')")} || {_section('context', "coalesce(context, '')")}
+       || {_section('question', 'question')} || '[/INST]' || chr(10) || 'Answer:' || chr(10) END AS prompt
+  FROM opened LEFT JOIN contexts USING (query_id) LEFT JOIN histories USING (query_id) LEFT JOIN listed USING (query_id)),
+drafts AS MATERIALIZED (
+  SELECT query_id, conv_id, turn, asked, question, canned, prompt, coalesce(refs, '') AS "references",
+         '{{"model":"{r.MODEL}","messages":[{{"role":"user","content":' || to_json(prompt)::VARCHAR
+         || '}}],"options":{{"temperature":1.0}}}}' AS request FROM prompted)""",
+)
+_FINISHED = (
+    *_DRAFTS,
+    f"""said AS (SELECT conv_id, arg_min(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+answered AS (
+  SELECT *, CASE conv_id % 4 WHEN 1 THEN {_lit(FAILED)} WHEN 2 THEN {_lit(MISSING)} WHEN 3 THEN {_lit(MISSING)}
+    ELSE coalesce(said, 'no message') END AS raw FROM drafts LEFT JOIN said USING (conv_id)),
+finished AS MATERIALIZED (
+  SELECT query_id, conv_id, turn, question, "references",
+         coalesce(canned, replace({_first_words('raw', ANSWER_WORDS)}, '$', '\\$')
+           || CASE WHEN contains(lower(asked), {_lit(NOTE_KEYWORD)}) THEN {_lit(NOTE)} ELSE '' END) AS answer
+  FROM answered)""",
+)
+
+
 SQL: dict[str, str] = {
-    "src_listing": "SELECT source || '/' || doc_id || '.txt' AS relative_path FROM documents",
+    "src_listing": "SELECT DISTINCT source FROM documents",
     "src_extension": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%.html'",
     "src_latest": """SELECT user_id, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
@@ -216,7 +272,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
     + "SELECT doc_id, chunk_no, relative_path, language, length(chunk)::INTEGER AS chunk_chars FROM chunks",
     "eval_pairs": _with(_PAIRS) + "SELECT * FROM pairs",
     "chunk_table": _with(*_CORPUS) + "SELECT doc_id, chunk_no, relative_path, file_url, chunk, language FROM chunks",
-    "activity_log": _with(_QA) + _log(),
+    "activity_log": _with(_QA) + _log(first="conv_id % 2,"),
     "activity_stream": _with(_QA) + _log(),
     "retrieve_filtered": _with(*_CORPUS)
     + f"SELECT chunk, file_url, relative_path FROM chunks WHERE language = {_lit(r.LANGUAGE)} ORDER BY doc_id, chunk_no LIMIT 5",
@@ -238,7 +294,7 @@ FROM (SELECT doc_id, text, unnest(range(1 + ceil(greatest(0, length(text) - 2000
         *_CORPUS, _POSTINGS, _search("SELECT item_id AS query_id, text FROM benchmark", f"language = {_lit(r.LANGUAGE)}")
     )
     + "SELECT query_id, rank, doc_id, chunk_no, score FROM hits",
-    "search_pruned": _with(*_HITS) + "SELECT query_id, rank, doc_id, chunk_no, score FROM hits",
+    "search_pruned": _with(*_CORPUS, _POSTINGS, _search("SELECT item_id AS query_id, text FROM benchmark")) + "SELECT query_id, rank, doc_id, chunk_no, score FROM hits",
     "context_block": _with(*_HITS, _CONTEXT) + "SELECT query_id, context FROM contexts",
     "references": _with(*_HITS)
     + """SELECT query_id, chr(10) || chr(10) || '**References:**' || chr(10)
@@ -259,7 +315,7 @@ GROUP BY conv_id""",
     "limit_words": f"""SELECT conv_id, turn,
        CASE WHEN len(ws) > 10 THEN array_to_string(ws[1:10], ' ') ELSE text END AS limited
 FROM (SELECT *, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '') AS ws FROM conversations)""",
-    "route_canned": f"SELECT conv_id, turn, {_case('lower(upper(role))', r.REPLIES)} AS canned FROM conversations",
+    "route_canned": f"SELECT conv_id, turn, {_case("lower(upper(split_part(text, ' ', 1)))", r.REPLIES)} AS canned FROM conversations",
     "append_note": _with(_QA)
     + f"SELECT conv_id, turn, answer || CASE WHEN contains(lower(question), {_lit(r.KEYWORD)}) THEN {_lit(r.NOTE)} ELSE '' END AS answer FROM qa",
     "escape_text": """SELECT conv_id, turn, replace(t, '''', '') AS unquoted, replace(t, '$', '\\$') AS escaped
@@ -276,6 +332,27 @@ FROM last_asked LEFT JOIN histories USING (query_id)""",
        || {_section('chat_history', "coalesce(history, '')")} || {_section('context', "coalesce(context, '')")}
        || {_section('question', 'text')} || '[/INST]' || chr(10) || 'Answer:' || chr(10) AS prompt
 FROM last_asked LEFT JOIN contexts USING (query_id) LEFT JOIN histories USING (query_id)""",
+    "open_questions": _with(_OPEN) + "SELECT query_id, conv_id, turn, asked, question, canned FROM opened",
+    "draft_answers": _with(*_DRAFTS) + "SELECT * FROM drafts",
+    "finish_answers": _with(*_FINISHED) + "SELECT * FROM finished",
+    "answer_log": _with(*_FINISHED) + _log("finished", "conv_id % 2,", "turn"),
+    "filtered_context": _with(*_CORPUS)
+    + f"""SELECT query_id, context, refs AS "references" FROM (
+  SELECT string_agg('Context document ' || rank || ': ' || chunk || ' ' || chr(10) || chr(10), '' ORDER BY rank) AS context,
+         chr(10) || chr(10) || '**References:**' || chr(10) || string_agg('- ' || relative_path || chr(10), '' ORDER BY rank) AS refs
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_no) AS rank FROM chunks WHERE language = {_lit(r.LANGUAGE)}
+        QUALIFY rank <= 5)), ({_ALL_ASKED})""",
+    "paged_chunks": _with(
+        f"""files AS MATERIALIZED (
+  SELECT conv_id AS doc_id, conv_id || '' AS relative_path, {_lit(r.LANGUAGE)} AS language,
+       CASE WHEN max(failed) IS NULL THEN '' ELSE 'Unable to Extract' END
+       || coalesce(string_agg(translate(text, chr(10), ' '), '' ORDER BY turn) FILTER (failed IS NULL OR turn > failed), '') AS text
+  FROM (SELECT *, max(turn) FILTER (turn % 5 = 3) OVER (PARTITION BY conv_id) AS failed FROM conversations)
+  GROUP BY conv_id)""",
+        _WORD_CHUNKS,
+        _CHUNKS,
+    )
+    + "SELECT doc_id, chunk_no, relative_path, file_url, chunk, language FROM chunks",
     "request_rows": f"""SELECT conv_id, turn,
        '{{"model":"{r.MODEL}","messages":[{{"role":"user","content":' || to_json(text)::VARCHAR
        || '}}],"options":{{"temperature":1.0}}}}' AS request FROM conversations""",

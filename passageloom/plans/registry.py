@@ -12,7 +12,7 @@ from passageloom.functions import text as tx
 from passageloom.functions.filters import compile_filter
 from passageloom.operators import conversation as conv
 from passageloom.operators import prompts, retrieval, scoring, stats
-from passageloom.operators.activity import activity_rows, assign_ids
+from passageloom.operators.activity import assign_ids
 from passageloom.operators.chunking import chunk_chars, chunk_words
 from passageloom.operators.corpus import project
 from passageloom.operators.index import KEY, index_chunks
@@ -31,7 +31,7 @@ _QUERIES: dict[str, Query] = {}
 LANGUAGE = "es"
 KEYWORD = "the"
 NOTE = " (see the note)"
-REPLIES = {"system": "fixed reply one", "user": "fixed reply two"}
+REPLIES = {"the": "fixed reply one", "of": "fixed reply two"}
 FALLBACK = "nothing found"
 ROUTED = {"@and": [{"@eq": {"language": LANGUAGE}}]}
 MODEL = answers.MODELS[0]
@@ -68,13 +68,18 @@ def _stored_chunks(spark, d) -> DataFrame:
     return files.read_chunks(spark, path=path)
 
 
-def _last_questions(spark, d) -> DataFrame:
-    return conv.last_questions(_messages(spark, d))
+def _numbered(spark, d) -> DataFrame:
+    return materialize(conv.positions(_messages(spark, d)), "messages")
+
+
+def _questions(spark, d) -> DataFrame:
+    """Every user message."""
+    return conv.user_questions(_numbered(spark, d))
 
 
 def _hits(spark, d, filter: dict | None = None) -> DataFrame:
     chunks = _stored_chunks(spark, d)
-    found = retrieval.search_topk(index_chunks(chunks), _last_questions(spark, d), answers.HITS, filter)
+    found = retrieval.search_topk(index_chunks(chunks), _questions(spark, d), answers.HITS, filter)
     return retrieval.hit_chunks(found, chunks)
 
 
@@ -90,7 +95,12 @@ def _timed(messages: DataFrame) -> DataFrame:
 
 @query
 def src_listing(spark, d):
-    return staged_files(_documents(spark, d)).select("relative_path")
+    path = scratch_path(spark, "staged")
+    # One file per source, so the listing has a row for each.
+    sources = _documents(spark, d).select("source", F.lit("").alias("value")).distinct()
+    sources.repartition("source").write.partitionBy("source").text(path)
+    listed = files.list_sources(spark, path, "*.txt")
+    return listed.select(F.regexp_extract("relative_path", "^source=([^/]+)/", 1).alias("source"))
 
 
 @query
@@ -113,7 +123,12 @@ def scan_chunks(spark, d):
 @query
 def eval_pairs(spark, d):
     path = scratch_path(spark, "sheet")
-    sheet = evaluation.message_pairs(_messages(spark, d)).toDF("row_id", "human_answer", "model_answer")
+    sheet = evaluation.message_pairs(_messages(spark, d)).select(
+        F.col("candidate").alias("model_answer"),
+        F.length("candidate").alias("remark"),
+        F.col("pair_id").alias("row_id"),
+        F.col("reference").alias("human_answer"),
+    )
     sheet.write.option("header", True).option("escape", '"').csv(path)
     return files.read_pairs(spark, path, "human_answer", "model_answer", "row_id", "csv")
 
@@ -130,7 +145,10 @@ _QUERIES["chunk_table"] = _QUERIES.pop("chunk_table_rows")
 def activity_log(spark, d):
     path = scratch_path(spark, "activity")
     messages = _timed(_messages(spark, d))
-    files.append_activity(activity_rows(conv.pair_turns(messages, keep=("ts",))), path)
+    pairs = conv.pair_turns(messages, keep=("ts",))
+    # Two appends: the ids of the second go on from the first.
+    for remainder in (0, 1):
+        files.append_activity(pairs.filter(F.col("conv_id") % 2 == remainder), path)
     return files.read_activity(spark, path)
 
 
@@ -189,21 +207,21 @@ _chunk_query("chunk_chars", chunk_chars)
 @query
 def search_topk(spark, d):
     index = index_chunks(_stored_chunks(spark, d))
-    return retrieval.search_topk(index, _last_questions(spark, d), answers.HITS)
+    return retrieval.search_topk(index, _questions(spark, d), answers.HITS)
 
 
 @query
 def search_filtered(spark, d):
     index = index_chunks(_stored_chunks(spark, d))
     queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    # Without the direct join, so that small tables take the plan of large ones too.
-    return retrieval.search_topk(index, queries, answers.HITS, ROUTED, pair_limit=0)
+    return retrieval.search_topk(index, queries, answers.HITS, ROUTED)
 
 
 @query
 def search_pruned(spark, d):
     index = index_chunks(_stored_chunks(spark, d))
-    return retrieval.search_topk(index, _last_questions(spark, d), answers.HITS, pair_limit=0)
+    queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.search_topk(index, queries, answers.HITS)
 
 
 @query
@@ -216,11 +234,17 @@ def references(spark, d):
     return retrieval.references(_hits(spark, d))
 
 
+@query
+def filtered_context(spark, d):
+    hits = retrieval.filtered_hits(_chunks(spark, d), _questions(spark, d), ROUTED, answers.HITS)
+    return retrieval.context_and_references(hits).select("query_id", "context", "references")
+
+
 @query
 def index_refresh(spark, d):
     path = scratch_path(spark, "store")
     stream = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
-    refresh_index(stream, path, f"{path}-checkpoint", lag=None).awaitTermination()
+    refresh_index(stream, path, f"{path}-checkpoint", ["n_chars", "text"], lag=None).awaitTermination()
     index = IndexStore(path).index(spark)
     counts = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("chunks"))
     return index.terms.join(counts, "term").select("term", "df", "chunks", "tf")
@@ -261,9 +285,9 @@ def limit_words(spark, d):
 
 @query
 def route_canned(spark, d):
-    asked = _messages(spark, d).select(
-        "conv_id", "turn", F.concat(F.lit(" \t"), F.upper("role"), F.lit("\n")).alias("question")
-    )
+    # The first word of each message, in capitals and between white space.
+    first = F.upper(F.substring_index(F.col("text"), " ", 1))
+    asked = _messages(spark, d).select("conv_id", "turn", F.concat(F.lit(" \t"), first, F.lit("\n")).alias("question"))
     return conv.route_canned(asked, REPLIES).select("conv_id", "turn", "canned")
 
 
@@ -295,22 +319,84 @@ def fallback_answer(spark, d):
 
 @query
 def expansion_prompt(spark, d):
-    messages = _messages(spark, d)
-    questions = conv.last_questions(messages)
-    history = conv.format_history(conv.history_before(questions, messages, answers.HISTORY), "query_id")
+    numbered = _numbered(spark, d)
+    questions = conv.user_questions(numbered)
+    history = conv.format_history(conv.history_before(questions, numbered, answers.HISTORY), "query_id")
     rows = questions.select("query_id", F.col("text").alias("question")).join(history, "query_id", "left")
     return prompts.expansion_prompt(rows).select("query_id", "prompt")
 
 
 @query
 def answer_prompt(spark, d):
-    messages = _messages(spark, d)
-    questions = conv.last_questions(messages)
-    history = conv.format_history(conv.history_before(questions, messages, answers.HISTORY), "query_id")
+    numbered = _numbered(spark, d)
+    questions = conv.user_questions(numbered)
+    history = conv.format_history(conv.history_before(questions, numbered, answers.HISTORY), "query_id")
     asked = questions.select("query_id", F.col("text").alias("question"))
     return prompts.answer_prompt(asked, retrieval.context_block(_hits(spark, d)), history)
 
 
+# From open questions to the log
+
+
+@query
+def open_questions(spark, d):
+    numbered = conv.positions(answers.limited(_messages(spark, d)))
+    return answers.open_questions(numbered).select("query_id", "conv_id", "turn", "asked", "question", "canned")
+
+
+def _drafts(spark, d) -> DataFrame:
+    chunks = _stored_chunks(spark, d)
+    return materialize(answers.draft_answers(_messages(spark, d), index_chunks(chunks), chunks), "drafts")
+
+
+@query
+def draft_answers(spark, d):
+    return _drafts(spark, d)
+
+
+def _finished(spark, d) -> DataFrame:
+    """Replies by conversation: the first assistant message, broken text, none, and an empty answer, in turn."""
+    drafts = _drafts(spark, d)
+    said = (
+        _messages(spark, d).filter(F.col("role") == "assistant").groupBy("conv_id")
+        .agg(F.min_by("text", "turn").alias("said"))
+    )
+    kind = F.col("conv_id") % 4
+    body = F.when(kind == 3, F.lit("")).otherwise(F.coalesce("said", F.lit("no message")))
+    good = F.to_json(F.struct(F.array(F.struct(body.alias("messages"))).alias("choices")))
+    replies = drafts.join(said, "conv_id", "left").filter(kind != 2).select(
+        "query_id", F.when(kind == 1, F.lit("broken")).otherwise(good).alias("reply")
+    )
+    return answers.finish_answers(drafts, replies)
+
+
+@query
+def finish_answers(spark, d):
+    return _finished(spark, d)
+
+
+@query
+def answer_log(spark, d):
+    path = scratch_path(spark, "answers")
+    done = materialize(_timed(_finished(spark, d)), "finished")
+    for remainder in (0, 1):
+        files.append_activity(done.filter(F.col("conv_id") % 2 == remainder), path)
+    return files.read_activity(spark, path)
+
+
+@query
+def paged_chunks(spark, d):
+    pages = _messages(spark, d).select(
+        F.col("conv_id").cast("string").alias("relative_path"),
+        F.col("turn").alias("page_no"),
+        F.when(F.col("turn") % 5 != 3, F.col("text")).alias("text"),
+    )
+    texts = assemble_pages(pages).select(
+        F.col("relative_path").cast("long").alias("doc_id"), "relative_path", F.lit(LANGUAGE).alias("language"), "text"
+    )
+    return chunk_table(texts)
+
+
 @query
 def request_rows(spark, d):
     rows = _messages(spark, d).select("conv_id", "turn", F.col("text").alias("prompt"))
@@ -334,7 +420,7 @@ def activity_ids(spark, d):
 def activity_messages(spark, d):
     path = scratch_path(spark, "log")
     stream = spark.readStream.schema(schemas.MESSAGES).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    activity_stream(_timed(stream), path, f"{path}-checkpoint").awaitTermination()
+    activity_stream(_timed(stream), path, f"{path}-checkpoint", "1 hour").awaitTermination()
     return read_log(spark, path).select(*schemas.ACTIVITY.fieldNames())
 
 
@@ -423,6 +509,6 @@ def score_summary(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt, references and model request for the last question of every conversation."""
+    """Prompt, references and model request, or the fixed reply, of every open question."""
     chunks = materialize(_chunks(spark, d), "chunks")
     return answers.draft_answers(_messages(spark, d), index_chunks(chunks), chunks)

@@ -55,7 +55,3 @@ ACTIVITY = _struct(
     ("logged_at", T.TimestampNTZType()),
 )
 
-
-def pairs(key: str, reference: str, candidate: str) -> T.StructType:
-    """Schema of an evaluation sheet with the given column names."""
-    return _struct((key, T.StringType()), (reference, T.StringType()), (candidate, T.StringType()))

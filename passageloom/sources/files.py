@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passageloom import schemas
+from passageloom.functions.text import LOG_SOURCE_ZONE, LOG_TARGET_ZONE
+from passageloom.operators.activity import activity_rows
+from passageloom.session import materialize
 
 
 def list_sources(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -36,15 +39,23 @@ def latest_per_path(df: DataFrame, key: str, version: list[str]) -> DataFrame:
 
 
 def read_pairs(
-    spark: SparkSession, path: str, ref_col: str, cand_col: str, key: str = "pair_id", fmt: str = "parquet"
+    spark: SparkSession, path: str, ref_col: str, cand_col: str, key: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """An evaluation sheet as ``(pair_id, reference, candidate)``."""
-    reader = spark.read.schema(schemas.pairs(key, ref_col, cand_col)).format(fmt)
+    """An evaluation sheet as ``(reference, candidate)``, with ``pair_id`` first if the sheet has a ``key`` column.
+
+    Columns are found by name, in any order and among others; a missing one fails.
+    A CSV sheet may have line breaks in its cells, so each file is one task: keep
+    large sheets in Parquet.
+    """
+    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
-    return reader.load(path).select(
-        F.col(key).alias("pair_id"), F.col(ref_col).alias("reference"), F.col(cand_col).alias("candidate")
-    )
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    sheet = reader.load(path)
+    wanted = {"pair_id": key, "reference": ref_col, "candidate": cand_col}
+    missing = sorted(c for c in wanted.values() if c is not None and c not in sheet.columns)
+    if missing:
+        raise ValueError(f"the sheet at {path} lacks {', '.join(missing)}")
+    return sheet.select(*(F.col(f"`{c}`").cast("string").alias(name) for name, c in wanted.items() if c is not None))
 
 
 def write_chunks(df: DataFrame, path: str | None = None, table: str | None = None) -> None:
@@ -65,9 +76,40 @@ def read_chunks(spark: SparkSession, path: str | None = None, table: str | None
     return spark.read.schema(schemas.CHUNKS).parquet(path)
 
 
-def append_activity(df: DataFrame, path: str) -> None:
-    """Append rows to the activity log; existing rows are never replaced."""
-    df.select(*schemas.ACTIVITY.fieldNames()).write.mode("append").parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def next_id(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """The id after the largest of the log at ``path``, from one stored row per append, not from the log.
+
+    ``before`` leaves out appends with that number or a later one, so that a retry takes the same ids.
+    """
+    if not _exists(spark, f"{path}.ids"):
+        return 1
+    tops = spark.read.schema("top long, append long").parquet(f"{path}.ids")
+    if before is not None:
+        tops = tops.filter(F.col("append") < before)
+    return (tops.agg(F.max("top")).first()[0] or 0) + 1
+
+
+def store_top(rows: DataFrame, path: str, start: int, append: int) -> None:
+    """Remember the largest id of an append of ``rows`` whose ids begin at ``start``."""
+    top = rows.agg((F.coalesce(F.max("id"), F.lit(start - 1))).alias("top"))
+    top.write.mode("overwrite").parquet(f"{path}.ids/append={append}")
+
+
+def append_activity(pairs: DataFrame, path: str, src: str = LOG_SOURCE_ZONE, dst: str = LOG_TARGET_ZONE) -> None:
+    """Append ``(conv_id, turn, question, answer, ts)`` to the activity log, with ids that go on from its last.
+
+    Existing rows are never replaced. One writer at a time.
+    """
+    spark = pairs.sparkSession
+    start = next_id(spark, path)
+    rows = materialize(activity_rows(pairs, src, dst, start), "activity")
+    rows.select(*schemas.ACTIVITY.fieldNames()).write.mode("append").parquet(path)
+    store_top(rows, path, start, start)
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:

@@ -16,16 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 from passageloom import schemas
 from passageloom.functions.text import LOG_SOURCE_ZONE, LOG_TARGET_ZONE
 from passageloom.operators.activity import activity_rows
+from passageloom.sources.files import next_id, store_top
 
 _LOG = T.StructType([*schemas.ACTIVITY.fields, T.StructField("batch", T.LongType(), True)])
 
 
-def stream_pairs(messages: DataFrame, wait: str | None = None) -> DataFrame:
+def stream_pairs(messages: DataFrame, wait: str) -> DataFrame:
     """``(conv_id, turn, question, answer, ts)`` of a stream ``(conv_id, turn, role, text, ts)``.
 
-    ``wait`` bounds the state: an answer is expected within that time of its
-    question, and older unanswered questions are dropped. Without it, questions
-    wait for ever.
+    An answer has the turn after its question's. It is expected within ``wait`` of
+    its question; both sides leave the state once they are older than that, so
+    the state is bounded by the messages of that time.
     """
     # Event times are instants; the log's own times are wall-clock times.
     instant = F.col("ts").cast("timestamp")
@@ -36,10 +37,9 @@ def stream_pairs(messages: DataFrame, wait: str | None = None) -> DataFrame:
         F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"), "ts", instant.alias("_answered")
     )
     same = (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn"))
-    if wait:
-        asked, answered = asked.withWatermark("_asked", wait), answered.withWatermark("_answered", wait)
-        latest = F.col("_asked") + F.expr(f"INTERVAL {wait}")
-        same = same & F.col("_answered").between(F.col("_asked"), latest)
+    asked, answered = asked.withWatermark("_asked", wait), answered.withWatermark("_answered", wait)
+    latest = F.col("_asked") + F.expr(f"INTERVAL {wait}")
+    same = same & F.col("_answered").between(F.col("_asked"), latest)
     return asked.join(answered, same).select("conv_id", "turn", "question", "answer", "ts")
 
 
@@ -48,21 +48,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_LOG).parquet(path)
 
 
-def _next_id(spark: SparkSession, path: str, batch: int) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return 1
-    # Earlier batches only: a retried batch takes the same numbers again.
-    top = read_log(spark, path).filter(F.col("batch") < batch).agg(F.max("id").alias("top")).first()
-    return (top["top"] or 0) + 1
-
-
 def activity_stream(
     messages: DataFrame,
     path: str,
     checkpoint: str,
-    wait: str | None = None,
+    wait: str,
     every: str | None = None,
     src: str = LOG_SOURCE_ZONE,
     dst: str = LOG_TARGET_ZONE,
@@ -71,8 +61,10 @@ def activity_stream(
 
     def log(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = activity_rows(batch, src, dst, _next_id(spark, path, number))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Of earlier batches only: a retried batch takes the same numbers again.
+        start = next_id(spark, path, number)
+        activity_rows(batch, src, dst, start).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store_top(spark.read.schema(schemas.ACTIVITY).parquet(f"{path}/batch={number}"), path, start, number)
 
     writer = stream_pairs(messages, wait).writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -7,6 +7,7 @@ from passageloom import schemas
 from passageloom.operators import conversation as conv
 from passageloom.operators.index import index_chunks
 from passageloom.operators.prompts import answer_prompt, expansion_prompt, request_rows
+from passageloom.operators.retrieval import filtered_hits
 from passageloom.plans import answers
 
 
@@ -45,14 +46,30 @@ def test_pairs(spark):
     assert pairs == {(1, t, f"m{t}", f"m{t + 1}") for t in range(0, 400, 2)} | {(2, 2, "b", "c")}
 
 
-def test_history_of_a_question(spark):
-    df = talk(spark)
-    asked = conv.last_questions(df)
-    assert {(r.query_id, r.turn) for r in asked.collect()} == {(1, 398), (2, 2), (3, 0)}
-    text = {r.query_id: r.history for r in conv.format_history(conv.history_before(asked, df, 3), "query_id").collect()}
-    assert text == {1: "user: m396\nassistant: m397\nuser: m398", 2: "system: s\nuser: a\nuser: b", 3: "user: x"}
-    before = conv.history_before(asked, df, 2, include_current=False)
-    assert {(r.query_id, r.turn) for r in before.collect()} == {(1, 396), (1, 397), (2, 0), (2, 1)}
+def gaps(spark):
+    """The same conversations with gaps in ``turn``."""
+    return talk(spark).withColumn("turn", F.col("turn") * 3 + F.when(F.col("turn") > 1, 5).otherwise(0))
+
+
+def test_pairs_with_gaps(spark):
+    pairs = {(r.conv_id, r.question, r.answer) for r in conv.pair_turns(gaps(spark)).collect()}
+    assert pairs == {(1, f"m{t}", f"m{t + 1}") for t in range(0, 400, 2)} | {(2, "b", "c")}
+
+
+@pytest.mark.parametrize("make", [talk, gaps])
+def test_history_of_every_question(spark, make):
+    numbered = conv.positions(make(spark)).cache()
+    asked = conv.user_questions(numbered)
+    assert {(r.conv_id, r.position) for r in asked.collect()} == {(1, t) for t in range(0, 400, 2)} | {(2, 1), (2, 2), (3, 0)}
+    assert {r.query_id for r in asked.filter("conv_id = 3").collect()} == {"3/0"}
+    last = asked.filter("conv_id > 1 or position = 398")
+    text = {r.query_id.split("/")[0] + r.history[-1]: r.history for r in conv.format_history(conv.history_before(last, numbered, 3), "query_id").collect()}
+    assert text == {
+        "18": "user: m396\nassistant: m397\nuser: m398", "2a": "system: s\nuser: a", "2b": "system: s\nuser: a\nuser: b", "3x": "user: x",
+    }
+    before = conv.history_before(asked.filter("conv_id = 2 and position = 2"), numbered, 2, include_current=False)
+    assert {r.text for r in before.collect()} == {"s", "a"}
+    assert {(r.conv_id, r.position) for r in conv.unanswered(asked, numbered).collect()} == {(2, 1), (3, 0)}
 
 
 def test_fixed_replies_and_notes(spark):
@@ -91,16 +108,33 @@ def test_answers_end_to_end(spark):
         ],
         schemas.MESSAGES,
     )
-    questions = {r.query_id: r for r in answers.open_questions(messages).collect()}
-    assert questions[2].canned == answers.CANNED["hola"] and questions[1].canned is None
-    drafts = answers.draft_answers(messages, index_chunks(chunks), chunks)
+    numbered = conv.positions(answers.limited(messages))
+    questions = {r.query_id: r for r in answers.open_questions(numbered).collect()}
+    assert set(questions) == {"1/0", "2/0", "3/2", "4/0"}
+    assert questions["2/0"].canned == answers.CANNED["hola"] and questions["1/0"].canned is None
+    index = index_chunks(chunks)
+    drafts = answers.draft_answers(messages, index, chunks)
     rows = {r.query_id: r for r in drafts.collect()}
-    assert set(rows) == {1, 3, 4}
-    assert rows[1].question == "whats the mango subpartida" and "- f1\n" in rows[1].references
-    assert "assistant: ok" in rows[3].prompt and "coffee exports" in rows[3].prompt and rows[4].references == ""
+    assert set(rows) == set(questions) and rows["2/0"].prompt is None and rows["2/0"].request is None
+    assert rows["1/0"].question == "whats the mango subpartida" and "- f1\n" in rows["1/0"].references
+    assert "assistant: ok" in rows["3/2"].prompt and "coffee exports" in rows["3/2"].prompt and rows["4/0"].references == ""
+    wider = spark.createDataFrame([("4/0", "mango")], "query_id string, text string")
+    again = {r.query_id: r for r in answers.draft_answers(messages, index, chunks, expanded=wider).collect()}
+    assert again["4/0"].references.endswith("- f1\n") and again["4/0"].question == "unknown"
+    filtered = filtered_hits(chunks, conv.user_questions(numbered), {"@eq": {"language": "es"}}, 1)
+    live = {r.query_id: r for r in answers.draft_answers(messages, None, chunks, hits=filtered).collect()}
+    assert "mango exports" in live["4/0"].prompt
     with pytest.raises(ValueError):
         answers.draft_answers(messages, None, chunks, model="other")
     body = lambda text: json.dumps({"choices": [{"messages": text}]})
-    replies = spark.createDataFrame([(1, body("a $5 code")), (3, "broken")], "query_id long, reply string")
+    replies = spark.createDataFrame([("1/0", body("a $5 code")), ("3/2", "broken"), ("2/0", body("unused"))], "query_id string, reply string")
     done = {r.query_id: r.answer for r in answers.finish_answers(drafts, replies).collect()}
-    assert done == {1: "a \\$5 code" + answers.NOTE, 3: answers.FAILED, 4: answers.MISSING}
+    assert done == {"1/0": "a \\$5 code" + answers.NOTE, "2/0": answers.CANNED["hola"], "3/2": answers.FAILED, "4/0": answers.MISSING}
+
+
+def test_history_holds_the_limited_question(spark):
+    chunks = spark.createDataFrame([(1, 0, "f", "u", "f: a", "es")], schemas.CHUNKS)
+    long = " ".join(f"w{i}" for i in range(150))
+    messages = spark.createDataFrame([(1, 0, "user", long)], schemas.MESSAGES)
+    row = answers.draft_answers(messages, index_chunks(chunks), chunks).first()
+    assert len(row.asked.split()) == 100 and "w99" in row.prompt and "w100" not in row.prompt

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from passageloom.plans import oracles, registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = registry.all_queries(), oracles.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -27,6 +28,7 @@ def normal(frame, columns):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
     assert set(QUERIES) - set(SQL) == {"stems", "score_pairs_stemmed"}
 
 
@@ -44,5 +46,5 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     rows = entry_point.entry(spark)
-    assert rows.columns == ["query_id", "asked", "question", "prompt", "references", "request"]
-    assert rows.count() == 20
+    assert rows.columns == ["query_id", "conv_id", "turn", "asked", "question", "canned", "prompt", "references", "request"]
+    assert rows.count() == 14

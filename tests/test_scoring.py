@@ -99,6 +99,14 @@ def test_identical_null_and_stemmed(spark):
     assert got["3"] == got["4"] == [0, 0, 0, 0]
 
 
+def test_pairs_need_no_key(spark):
+    rows = [("1", "a b c d e", "a b c d e"), ("1", "a b", "x y"), (None, "a b c d", "a b c d"), (None, "a", "b")]
+    df = spark.createDataFrame(rows, PAIR)
+    got = sorted((r.reference, r.bleu, r.rouge1) for r in score_pairs(df, "unicode", stemmed=False).collect())
+    assert [(r, round(b), o) for r, b, o in got] == [("a", 0, 0), ("a b", 0, 0), ("a b c d", 100, 1), ("a b c d e", 100, 1)]
+    assert sorted(round(r.bleu) for r in score_bleu(df, "unicode").collect()) == [0, 0, 100, 100]
+
+
 def test_ngrams_per_text(spark):
     df = spark.createDataFrame([("1", "a b a b"), ("2", None)], "pair_id string, text string")
     assert {tuple(r) for r in ngram_counts(df, 2).collect()} == {("1", "a b", 2), ("1", "b a", 1)}

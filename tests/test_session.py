@@ -1,7 +1,7 @@
 import os
 
 from passageloom.operators.chunking import chunk_words
-from passageloom.operators.scoring import score_pairs
+from passageloom.operators.scoring import ngram_counts, score_bleu, score_pairs
 from passageloom.plans import registry
 from passageloom.session import drop_scratch, materialize, scratch_path
 
@@ -19,20 +19,12 @@ def test_scratch_tables(spark):
     assert not os.path.exists(folder)
 
 
-def shuffles(plan, df):
-    return plan(df).count("Exchange hashpartitioning")
-
-
-def test_plans_move_rows_once(spark, plan):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def test_scoring_moves_no_rows(spark, plan):
     pairs = spark.createDataFrame([("1", "a b", "a c")], "pair_id string, reference string, candidate string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        # Each side of the final join is placed once; n-grams are not shuffled.
-        assert shuffles(plan, score_pairs(pairs)) == 2
-        assert shuffles(plan, score_pairs(pairs, "unicode", stemmed=False)) == 2
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for scored in (score_pairs(pairs), score_pairs(pairs, "unicode", stemmed=False), score_bleu(pairs)):
+        assert "Exchange" not in plan(scored) and plan(scored).count("ArrowEvalPython") == 1
+    texts = pairs.withColumnRenamed("candidate", "text")
+    assert "Exchange" not in plan(ngram_counts(texts, 2))
 
 
 def test_filter_runs_before_python(spark, plan, tmp_path):
@@ -46,5 +38,5 @@ def test_filter_runs_before_python(spark, plan, tmp_path):
 def test_python_only_where_needed(spark, plan, tmp_path):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert plan(chunk_words(df)).count("ArrowEvalPython") == 1
-    for name in ("history_last_n", "qa_pairs", "grouped_sum", "bleu", "rouge1", "limit_words", "route_canned"):
+    for name in ("history_last_n", "qa_pairs", "grouped_sum", "limit_words", "route_canned", "open_questions"):
         assert "Python" not in plan(registry.all_queries()[name](spark, "/root/testdata/sf0.001")), name

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 
 from passageloom import schemas
@@ -25,14 +27,18 @@ def test_latest(spark, plan):
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
-def test_pairs(spark, tmp_path, fmt):
-    rows = [("1", 'say "hi", then\ngo', "x"), ("2", "it's, $5", None)]
+def test_pairs_are_read_by_name(spark, tmp_path, fmt):
+    rows = [("x", 7, 'say "hi", then\ngo', "1"), (None, 8, "it's, $5", "2")]
     path = str(tmp_path / fmt)
-    sheet = spark.createDataFrame(rows, schemas.pairs("row", "human", "model"))
+    sheet = spark.createDataFrame(rows, "model string, remark int, human string, row string")
     sheet.write.options(header=True, escape='"').format(fmt).save(path)
     read = files.read_pairs(spark, path, "human", "model", "row", fmt)
     assert read.columns == ["pair_id", "reference", "candidate"]
-    assert sorted(read.collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in read.collect()) == [(r[3], r[2], r[0]) for r in rows]
+    plain = files.read_pairs(spark, path, "human", "model", fmt=fmt)
+    assert plain.columns == ["reference", "candidate"] and plain.count() == 2
+    with pytest.raises(ValueError, match="other"):
+        files.read_pairs(spark, path, "other", "model", fmt=fmt)
 
 
 def chunk_rows(*languages):
@@ -52,9 +58,12 @@ def test_chunk_table_is_replaced(spark, tmp_path, plan):
 
 def test_log_only_grows(spark, tmp_path):
     path = str(tmp_path / "log")
-    for i in (1, 2):
-        files.append_activity(spark.createDataFrame([(i, "q's", "a$", None)], schemas.ACTIVITY), path)
-    assert sorted(r.id for r in files.read_activity(spark, path).collect()) == [1, 2]
+    pairs = "conv_id long, turn long, question string, answer string, ts timestamp_ntz"
+    for append in range(3):
+        rows = [(c, 0, f"q{append}.{c}", "a$", dt.datetime(2024, 1, 1, 12, c)) for c in range(append)]
+        files.append_activity(spark.createDataFrame(rows, pairs), path)
+    log = files.read_activity(spark, path).orderBy("id").collect()
+    assert [(r.id, r.question) for r in log] == [(1, "q1.0"), (2, "q2.0"), (3, "q2.1")]
 
 
 def test_projection_and_language(spark):
