@@ -5,6 +5,7 @@ from __future__ import annotations
 from passageloom.operators.prompts import ANSWER_INSTRUCTIONS, EXPAND_INSTRUCTIONS
 from passageloom.plans import registry as r
 from passageloom.plans.answers import ANSWER_WORDS, CANNED, FAILED, MISSING, NOTE, NOTE_KEYWORD, QUESTION_WORDS
+from passageloom.plans.stem_sql import stem_steps
 
 # White space and punctuation rules, in RE2 notation.
 _SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -158,10 +159,15 @@ def _unicode(column: str) -> str:
     return rf"regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+')"
 
 
-def _overlap(prefix: str, tokenize) -> str:
+def _toks(prefix: str, tokenize) -> str:
     return f"""{prefix}_toks AS MATERIALIZED (
-  SELECT pair_id, {tokenize('candidate')} AS c, {tokenize('reference')} AS r FROM pairs),
-{prefix}_grams AS (
+  SELECT pair_id, {tokenize('candidate')} AS c, {tokenize('reference')} AS r FROM pairs)"""
+
+
+def _overlap(prefix: str, tokenize=None) -> str:
+    """Tokens and overlaps of n-grams; without ``tokenize`` the tokens are there already."""
+    toks = _toks(prefix, tokenize) + ",\n" if tokenize else ""
+    return toks + f"""{prefix}_grams AS (
   SELECT pair_id, n, gram, sum(is_c) AS c, sum(1 - is_c) AS r
   FROM (SELECT pair_id, n, is_c, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS gram
         FROM (SELECT pair_id, 1 AS is_c, c AS t FROM {prefix}_toks UNION ALL SELECT pair_id, 0, r FROM {prefix}_toks),
@@ -204,10 +210,31 @@ common AS (
   GROUP BY ALL),
 rouges_l AS MATERIALIZED (SELECT pair_id, CASE WHEN c + r > 0 THEN 2 * lcs / (c + r) ELSE 0.0 END AS rouge_l FROM common)"""
 
+_ASCII = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+# Tokens of more than three characters are stemmed.
+_STEMMED = (
+    *stem_steps(
+        f"SELECT DISTINCT unnest({_ASCII.format('t')}) AS token"
+        " FROM (SELECT reference AS t FROM pairs UNION ALL SELECT candidate FROM pairs)"
+    ),
+    f"""sides AS (
+  SELECT pair_id, 'c' AS side, {_ASCII.format('candidate')} AS toks FROM pairs
+  UNION ALL SELECT pair_id, 'r', {_ASCII.format('reference')} FROM pairs),
+stemmed AS MATERIALIZED (
+  SELECT pair_id, side, list(CASE WHEN length(token) > 3 THEN stem ELSE token END ORDER BY i) AS toks
+  FROM (SELECT pair_id, side, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM sides) JOIN stems USING (token)
+  GROUP BY ALL),
+u_toks AS MATERIALIZED (
+  SELECT p.pair_id, coalesce(c.toks, []) AS c, coalesce(r.toks, []) AS r FROM pairs p
+  LEFT JOIN stemmed c ON c.pair_id = p.pair_id AND c.side = 'c' LEFT JOIN stemmed r ON r.pair_id = p.pair_id AND r.side = 'r')""",
+)
+_STEMMED_SCORES = (_PAIRS, _overlap("m", _mteval), _bleu("m"), *_STEMMED, _overlap("u"), _rouge(1), _rouge(2), _ROUGE_L)
 _SCORES = (_PAIRS, _overlap("m", _mteval), _bleu("m"), _overlap("u", _unicode), _rouge(1), _rouge(2), _ROUGE_L)
 _ALL_SCORES = """scores AS MATERIALIZED (
   SELECT p.*, bleu, rouge1, rouge2, rouge_l
   FROM pairs p JOIN bleus USING (pair_id) JOIN rouges1 USING (pair_id) JOIN rouges2 USING (pair_id) JOIN rouges_l USING (pair_id))"""
+_PAIR_SCORES = """SELECT pair_id, reference, candidate, round(bleu, 4) AS bleu, round(rouge1, 4) AS rouge1,
+       round(rouge2, 4) AS rouge2, round(rouge_l, 4) AS rouge_l FROM scores"""
 _DESCRIBED = """count({0}) AS count, round(avg({0}), 4) AS mean, round(stddev_samp({0}), 4) AS std, {1} AS min,
        round(quantile_cont({0}, 0.25), 4) AS q25, round(quantile_cont({0}, 0.5), 4) AS q50,
        round(quantile_cont({0}, 0.75), 4) AS q75, {2} AS max"""
@@ -370,9 +397,12 @@ FROM documents GROUP BY ROLLUP (lang, source)""",
     "rouge1": _with(_PAIRS, _overlap("u", _unicode), _rouge(1)) + "SELECT pair_id, round(rouge1, 4) AS rouge1 FROM rouges1",
     "rouge2": _with(_PAIRS, _overlap("u", _unicode), _rouge(2)) + "SELECT pair_id, round(rouge2, 4) AS rouge2 FROM rouges2",
     "rouge_l": _with(_PAIRS, _overlap("u", _unicode), _ROUGE_L) + "SELECT pair_id, round(rouge_l, 4) AS rouge_l FROM rouges_l",
-    "score_pairs": _with(*_SCORES, _ALL_SCORES)
-    + """SELECT pair_id, reference, candidate, round(bleu, 4) AS bleu, round(rouge1, 4) AS rouge1,
-       round(rouge2, 4) AS rouge2, round(rouge_l, 4) AS rouge_l FROM scores""",
+    "score_pairs": _with(*_SCORES, _ALL_SCORES) + _PAIR_SCORES,
+    "score_pairs_stemmed": _with(*_STEMMED_SCORES, _ALL_SCORES) + _PAIR_SCORES,
+    "stems": _with(
+        *stem_steps(f"SELECT DISTINCT unnest({_ASCII.format('text')}) AS token FROM conversations")
+    )
+    + "SELECT token, stem FROM stems",
     "score_summary": _with(*_SCORES, _ALL_SCORES)
     + " UNION ALL ".join(_describe_score(name) for name in ("bleu", "rouge1", "rouge2", "rouge_l")),
 }
