@@ -2,7 +2,7 @@
 
 A signature has ``positions`` values of 16 bits. Two documents at the similarity
 threshold differ in about ``positions * (1 - threshold)`` of them; ``distance``
-lies almost five standard deviations above. By pigeonhole, signatures within
+lies over four standard deviations above. By pigeonhole, signatures within
 ``distance`` agree in one of ``chunks`` chunks up to ``errors`` positions; each
 chunk is therefore written once for every choice of positions that may be wrong,
 with these left out. All pairs within the distance share a key.
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from passageloom.llm.common import batched, rows_of, texts
 from passageloom.llm.components import components
 from passageloom.llm.exchange import pack, unpack
-from passageloom.llm.parts import numbered, store_parts
+from passageloom.llm.parts import bring_digits, numbered, store_documents, store_parts, unpack_documents
 from passageloom.llm.words import hash_words, mix, ngrams
 from passageloom.operators.joins import spread_join
 from passageloom.session import materialize
@@ -33,12 +34,12 @@ _CODE_BITS = 48
 
 @dataclass(frozen=True)
 class Settings:
-    percent: int = 85
+    percent: int = 80
     words: int = 5
     positions: int = 64
-    distance: int = 23
+    distance: int = 27
     errors: int = 1
-    tile: int = 1024
+    tile: int = 2048
 
     @property
     def chunks(self) -> list[np.ndarray]:
@@ -158,7 +159,7 @@ def _meetings(keys: DataFrame) -> DataFrame:
 
 
 def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``sets`` of similarity ``percent`` or more."""
+    """What links of similarity ``percent`` or more connect: every node but the least of each part, with the least."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     shared = np.zeros((n, n), np.float32)
@@ -179,25 +180,26 @@ def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     both = shared.astype(np.int64)
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     np.fill_diagonal(linked, False)
-    forest, waiting = [], set(range(n))
-    while waiting:
-        queue = [waiting.pop()]
+    stars, waiting = [], np.ones(n, bool)
+    for first in np.argsort(nodes):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        queue = [first]
         while queue:
-            at = queue.pop()
-            for other in np.flatnonzero(linked[at]):
-                if other in waiting:
-                    waiting.remove(other)
-                    forest.append((nodes[at], nodes[other]))
-                    queue.append(other)
-    return forest
+            found = np.flatnonzero(linked[queue.pop()] & waiting)
+            waiting[found] = False
+            queue.extend(found)
+            stars += [(nodes[other], nodes[first]) for other in found]
+    return stars
 
 
 def _links(members: DataFrame, settings: Settings) -> DataFrame:
     """``u, v``: links inside groups of candidates, compared tile by tile.
 
     A group is dealt into blocks of about ``tile`` sets, and every pair of blocks
-    is a tile, so a tile's memory doesn't grow with its group. A tile gives a
-    spanning forest, never all its pairs.
+    is a tile, so a tile's memory doesn't grow with its group. A tile gives one
+    link per node at most, never all its pairs.
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.floor(F.col("size") / settings.tile).cast("int") + 1
@@ -234,10 +236,9 @@ def group_near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: tuple[str, ...] = (),
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row, with the columns ``keep`` of ``docs``.
+    """``doc_id, n_shingles, component_id, kept`` of every row.
 
     A-Z are lower-cased; a document's set is its distinct shingles of ``words``
     words, or all its words as one if they are fewer. Documents are linked if
@@ -253,20 +254,34 @@ def group_near_copies(
     its ids are null. Rows with equal ids are separate and all called kept if their
     id names the component. An empty table gives no rows; other columns are not read.
     """
-    rows = numbered(texts(docs, id_col, text_col)) if not keep else None
-    if rows is None:
-        chosen = docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-            F.struct(*(F.col(c) for c in keep)).alias("_keep"),
-        )
-        rows = store_parts(numbered(chosen), "texts")
+    out = _grouped(numbered(texts(docs, id_col, text_col)), settings)
+    return out.select("doc_id", "n_shingles", "component_id", _kept().alias("kept"))
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()
+) -> DataFrame:
+    """The rows of ``docs`` that name their component, with all their columns; cases as in ``group_near_copies``."""
+    rows = store_documents(docs, id_col, text_col, "documents")
+    read = rows.withColumn("text", F.coalesce("text", F.lit(""))).select("part", "pos", "doc_id", "text")
+    digits = _grouped(read, settings).select("part", "pos", F.when(_kept(), "1").otherwise("0").alias("digit"))
+    return unpack_documents(bring_digits(rows, digits, "_kept").filter("_kept = '1'"), docs, text_col)
+
+
+def _kept():
+    return F.col("doc_id").eqNullSafe(F.col("component_id"))
+
+
+def _grouped(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``part, pos, doc_id, n_shingles, component_id`` for ``part, pos, doc_id, text``."""
     described = store_parts(_describe(rows.select("part", "pos", "doc_id", "text"), settings), "shingles")
     described = described.withColumn("node", F.shiftleft(F.col("part").cast("long"), 33) + F.col("pos"))
 
     filled = described.filter("n_shingles > 0")
     classes = materialize(
         filled.groupBy("same").agg(
-            F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.max("signature").alias("signature")
+            F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.max("signature").alias("signature"),
+            F.count(F.lit(1)).alias("copies"),
         ),
         "classes",
     )
@@ -278,27 +293,23 @@ def group_near_copies(
     flag = F.substring("flags", F.col("pos").cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     sets = filled.join(flags, "part").filter(flag).select("node", "codes")
     links = materialize(_links(sets.join(met, "node"), settings), "links")
-    linked = components(links)
-
-    named = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = materialize(spread_join(named, ids, ["component"], ["node"]).select("same", "component_id"), "named")
+    linked = materialize(components(links).join(classes.select("node", "same", "least_id"), "node"), "linked")
+    ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    joined = spread_join(linked, ids, ["component"], ["node"]).select("same", "component_id")
+    copied = classes.filter("copies > 1").join(linked, "node", "left_anti")
+    named = materialize(joined.unionByName(copied.select("same", F.col("least_id").alias("component_id"))), "named")
+    # Of the other rows, each is a component of its own.
     columns = ["part", "pos", "doc_id", "n_shingles"]
-    inside = spread_join(filled.select(*columns, "same"), named, ["same"], ["part", "pos"]).drop("same")
+    named = named.withColumn("named", F.lit(True))
+    inside = spread_join(filled.select(*columns, "same"), named, ["same"], ["part", "pos"], how="left")
+    own = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    inside = inside.withColumn("component_id", own)
     outside = described.filter("n_shingles = 0").select(*columns, F.col("doc_id").alias("component_id"))
-    out = inside.select(*columns, "component_id").unionByName(outside)
-    result = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
-    if not keep:
-        return out.select(*result)
-    return rows.select("part", "pos", "_keep").join(out, ["part", "pos"]).select(
-        *result, *(F.col(f"_keep.{c}").alias(c) for c in keep)
-    )
+    return inside.select(*columns, "component_id").unionByName(outside)
 
 
 def _place_flags(places: DataFrame) -> DataFrame:
     """``part, flags``: one byte per place of a part, up to its last listed place."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(int(pdf["pos"].max()) + 1, np.uint8)
         out[pdf["pos"]] = 1

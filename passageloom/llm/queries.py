@@ -191,7 +191,8 @@ def op7_suffix_dedup(spark, d):
 
 @query
 def op8_near_dedup(spark, d):
-    return near_dedup.group_near_copies(table(spark, d, "documents"))
+    settings = near_dedup.Settings(percent=85, distance=23)
+    return near_dedup.group_near_copies(table(spark, d, "documents"), settings=settings)
 
 
 @query
