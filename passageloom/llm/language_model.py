@@ -42,6 +42,19 @@ class Settings:
     levels: int = 254  # steps of the quantiser
 
 
+def _places(bit: int) -> np.ndarray:
+    """For every byte, the places of its bits that equal ``bit``, from the first."""
+    table = np.zeros((256, 8), np.int64)
+    for value in range(256):
+        found = [i for i in range(8) if (value >> (7 - i)) & 1 == bit]
+        table[value, : len(found)] = found
+    return table
+
+
+_BITS = np.array([value.bit_count() for value in range(256)], np.int64)
+_PLACES = (_places(0), _places(1))
+
+
 class EliasFano:
     """A sorted sequence of distinct integers in a bit over ``2 + log2(universe / n)`` bits each.
 
@@ -52,55 +65,59 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        words = np.frombuffer(high, np.uint8).reshape(-1, 8)
-        # Zeros before each group of 64 upper bits: the directory for selecting a zero.
-        ones = np.unpackbits(words, axis=1).reshape(len(words), -1).sum(axis=1)
-        self.zeros = np.concatenate([[0], np.cumsum(64 - ones)])
+        # Eight bytes from any place on, without a copy.
+        self.windows = np.ndarray((len(low) - 7,), ">u8", low, strides=(1,))
+        ones = np.concatenate([[0], np.cumsum(_BITS[high])])
+        self.counts = (8 * np.arange(len(ones)) - ones, ones)
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
-        low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+        low_bits = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
         upper = (values >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(-(-(n + (universe >> low_bits) + 2) // 64) * 64, np.uint8)
+        bits = np.zeros(n + (universe >> low_bits) + 2, np.uint8)
         bits[upper + np.arange(n)] = 1
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel())
-        return EliasFano(n, low_bits, np.concatenate([low, np.zeros(16, np.uint8)]), np.packbits(bits))
-
-    def _select0(self, rank: np.ndarray) -> np.ndarray:
-        """Place of the zero with the given rank (from 0)."""
-        word = np.searchsorted(self.zeros, rank, side="right") - 1
-        bits = np.unpackbits(np.asarray(self.high).reshape(-1, 8)[word], axis=1)
-        inside = np.cumsum(1 - bits, axis=1)
-        return word * 64 + (inside <= (rank - self.zeros[word])[:, None]).sum(axis=1)
+        low = []
+        shifts = np.arange(low_bits, dtype=np.uint64)[::-1]
+        for start in range(0, n, 1 << 16):  # a multiple of eight values fills whole bytes
+            part = values[start : start + (1 << 16), None]
+            low.append(np.packbits(((part >> shifts) & np.uint64(1)).astype(np.uint8).ravel()))
+        return EliasFano(n, low_bits, np.concatenate([*low, np.zeros(16, np.uint8)]), np.packbits(bits))
+
+    def _select(self, bit: int, rank: np.ndarray) -> np.ndarray:
+        """Place of the bit of that value with the given rank (from 0)."""
+        byte = np.searchsorted(self.counts[bit], rank, side="right") - 1
+        return 8 * byte + _PLACES[bit][self.high[byte], rank - self.counts[bit][byte]]
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for i in range(self.low_bits):
-            bit = at * self.low_bits + i
-            out |= ((self.low[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & np.uint8(1)).astype(np.uint64) << np.uint64(i)
-        return out
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element not below each value (``n`` if none)."""
+        if not self.low_bits:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.low_bits
+        window = self.windows[bit >> 3].astype(np.uint64)
+        left = (bit & 7).astype(np.uint64)
+        return (window << left) >> np.uint64(64 - self.low_bits)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first element not below each value (``n`` if none), and whether it is the value."""
         upper = (values >> np.uint64(self.low_bits)).astype(np.int64)
         lower = values & np.uint64((1 << self.low_bits) - 1)
-        begin = np.where(upper > 0, self._select0(np.maximum(upper - 1, 0)) - (upper - 1), 0)
-        end = self._select0(upper) - upper
-        while True:
-            open_ = begin < end
-            if not open_.any():
-                return begin
-            middle = (begin + end) >> 1
-            less = open_ & (self._lows(np.minimum(middle, max(self.n - 1, 0))) < lower)
-            begin = np.where(less, middle + 1, begin)
-            end = np.where(open_ & ~less, middle, end)
+        begin = np.where(upper > 0, self._select(0, np.maximum(upper - 1, 0)) - (upper - 1), 0)
+        end = self._select(0, upper) - upper
+        last = end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            middle = (begin[open_] + end[open_]) >> 1
+            less = self._lows(middle) < lower[open_]
+            begin[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        inside = begin < last
+        inside[inside] = self._lows(begin[inside]) == lower[inside]
+        return begin, inside
 
     def values(self, at: np.ndarray) -> np.ndarray:
         """The elements at the given indices."""
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high)))
-        upper = (ones[at] - at).astype(np.uint64)
+        upper = (self._select(1, at) - at).astype(np.uint64)
         return (upper << np.uint64(self.low_bits)) | self._lows(at)
 
 
@@ -145,20 +162,27 @@ class Trie:
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Codes of sorted keys; ``_ABSENT`` where the pair is not in the trie."""
         out = np.full(len(keys), _ABSENT, np.uint8)
-        if not self.nodes.n or not len(keys):
-            return out
-        owner = keys >> np.uint64(32)
-        node = self.nodes.find(owner)
-        node = np.minimum(node, self.nodes.n - 1)
-        known = self.nodes.values(node) == owner
+        if self.nodes.n:
+            for start in range(0, len(keys), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                out[part] = self._some(keys[part])
+        return out
+
+    def _some(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), _ABSENT, np.uint8)
+        context = keys >> np.uint64(32)
+        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        of_key = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+        node, known = self.nodes.find(context[heads])
+        node[~known] = 0
         begin = self.pointers.values(node).astype(np.int64) - node
         end = self.pointers.values(node + 1).astype(np.int64) - node - 1
-        wanted = (node.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-        at = self.successors.find(wanted)
-        known &= (begin <= at) & (at < end)
-        at = np.minimum(at, self.successors.n - 1)
-        known &= self.successors.values(at) == wanted
-        out[known] = self.codes[at[known]]
+        asked = np.flatnonzero(known[of_key])
+        own = of_key[asked]
+        wanted = (node[own].astype(np.uint64) << np.uint64(32)) | (keys[asked] & np.uint64(0xFFFFFFFF))
+        at, found = self.successors.find(wanted)
+        found &= (begin[own] <= at) & (at < end[own])
+        out[asked[found]] = self.codes[at[found]]
         return out
 
 
@@ -255,8 +279,9 @@ def _pair_codes(total: int, settings: Settings):
         if not len(codes):
             return [np.full(len(own), _ABSENT, np.uint8).tobytes() for own in lists]
         with tempfile.TemporaryFile() as file:
-            trie = Trie.build(keys[seen], codes).mapped(file)
-            return [trie.look_up(own).tobytes() for own in lists]
+            found = Trie.build(keys[seen], codes).mapped(file).look_up(keys)
+        # Each pair is looked up once, however many blocks ask for it.
+        return [found[np.searchsorted(keys, own)].tobytes() for own in lists]
 
     return answer
 

@@ -55,7 +55,8 @@ def test_successor_search(n, universe):
     values = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
     sequence = EliasFano.build(values, universe)
     asked = np.concatenate([values, rng.integers(0, universe, 500, dtype=np.uint64)])
-    assert (sequence.find(asked) == np.searchsorted(values, asked)).all()
+    at, found = sequence.find(asked)
+    assert (at == np.searchsorted(values, asked)).all() and (found == np.isin(asked, values)).all()
     assert (sequence.values(np.arange(len(values))) == values).all()
 
 
