@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageloom.llm.common import batched, rows_of, texts
-from passageloom.session import materialize
+from passageloom.llm.parts import store_parts
 
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample)
     )
     found = docs.join(F.broadcast(sample), "doc_id")
-    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
@@ -160,12 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         yield from batched(rows(), schema, 500)
 
     keyed = found.select(F.xxhash64("doc_id", "text").alias("key"), "label", "text")
-    examples = materialize(keyed.mapInArrow(extract, "key long, label int, at array<int>, v array<double>"), "examples")
-    examples = examples.withColumn("shard", F.pmod("key", F.lit(settings.shards)))
+    made = keyed.mapInArrow(extract, "key long, label int, at array<int>, v array<float>")
+    # Stored by shard, so that no round shuffles the examples again.
+    examples = store_parts(made.withColumn("part", F.pmod("key", F.lit(settings.shards))), "examples")
 
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(settings.rounds):
-        parts = examples.groupBy("shard").applyInPandas(_shard(z, n, settings), "i long, z double, n double")
+        parts = examples.groupBy("part").applyInPandas(_shard(z, n, settings), "i long, z double, n double")
         merged = parts.groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         if merged.empty:
             break
@@ -211,3 +212,26 @@ def classify(
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     scored = score(rows, train(rows, named, settings), settings.bits)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    settings: Settings = Settings(),
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns; without a shuffle."""
+    named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+    weights = docs.sparkSession.sparkContext.broadcast(train(texts(docs, id_col, text_col), named, settings))
+
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features, w = Features(settings.bits), weights.value
+        for batch in batches:
+            dots = np.array([features.dot(text, w) for text in batch], np.float64) + w[-1]
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))))
+
+    return docs.filter(probability(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
