@@ -17,6 +17,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +29,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Stands for a literal mark in a text; no UTF-8 text holds a lone surrogate.
 _LITERAL = "\ud800"
+_LETTER = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9]")  # without the raised digits
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNKNOWN_PENALTY = 10.0
 _COMMIT_EVERY = 512
-# Entries of each memo; both are emptied when full.
-_MEMO = 1 << 19
+# Entries of a memo. A full one of units becomes the older one, so that frequent units are kept.
+_MEMO = 1 << 18
 
 
 class Model:
@@ -71,8 +73,14 @@ class Model:
         self._fits: dict[str, dict[str, bool]] = {}
         self._known = 0
         self._memo: dict[str, array] = {}
-        blank = "".join(c for c in "\n\t\r" if c not in self.chars)
-        self._units = re.compile(f" *[^ {blank}]+|[{blank}]| +" if blank else " *[^ ]+| +")
+        self._older: dict[str, array] = {}
+        blank = "".join(c for c in "\n\t" if c not in self.chars)
+        alone = f"|[{blank}]" if blank else ""
+        # Where no piece has a letter beside another mark, paths have a boundary between the two as well.
+        if any(len({bool(_LETTER.match(c)) for c in p.lstrip(SPACE)}) > 1 for p in self.ids):
+            self._units = re.compile(f" *[^ {blank}]+{alone}| +")
+        else:
+            self._units = re.compile(rf" *{_LETTER.pattern}+| *(?:[^\w {blank}]|[\d_\u00b2\u00b3\u00b9])+{alone}| +")
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by the model's merges: best score first, leftmost of equals."""
@@ -195,9 +203,10 @@ class Model:
 
     def unit(self, text: str) -> array:
         """Ids of a stretch that starts and ends at boundaries of every path."""
-        found = self._memo.get(text)
-        if found is not None:
-            return found
+        ids = self._older.get(text)
+        if ids is not None:
+            self._memo[text] = ids
+            return ids
         # A space and the literal mark for it differ: the mark itself is written as bytes, so decoding is exact.
         marked = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
         ids = array("i")
@@ -210,6 +219,7 @@ class Model:
                 ids.extend(self.bytes[b] for b in raw.encode("utf-8", "surrogatepass"))
         if len(text) <= 64:
             if len(self._memo) > _MEMO:
+                self._older = dict(self._memo)
                 self._memo.clear()
             self._memo[text] = ids
         return ids
@@ -220,9 +230,9 @@ class Model:
         marked = " " + text if self.prefix else text
         if not self.cuts_at_space:
             return self.unit(marked)
-        ids, unit = array("i"), self.unit
+        ids, known, unit = array("i"), self._memo.get, self.unit
         for part in self._units.findall(marked):
-            ids.extend(unit(part))
+            ids.extend(known(part) or unit(part))
         return ids
 
     def decode(self, ids: Iterator[int]) -> str:
@@ -242,6 +252,12 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def loaded(data: bytes) -> Model:
+    """One model per worker process, so that its memos outlive a task."""
+    return Model(data)
+
+
 def encode(
     docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -258,7 +274,7 @@ def encode(
     schema = pa.schema(fields + [("text", pa.string())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Model(data.value)
+        tokenizer = loaded(data.value)
 
         def rows():
             for doc, text in rows_of(batches, "doc_id", "text"):
@@ -286,7 +302,7 @@ def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_c
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Model(data.value)
+        tokenizer = loaded(data.value)
         rows = ((doc, tokenizer.decode(ids or [])) for doc, ids in rows_of(batches, "doc_id", "ids"))
         yield from batched(rows, schema, 200)
 
