@@ -33,6 +33,8 @@ _SPREAD = 16
 _ABSENT = 255
 _START = np.uint64(0x0F4C_7B1D_93A5_E268)
 _END = np.uint64(0x7A21_C9E4_5D80_36FB)
+# A block's counts fit in 32 bits (a text has under 2**31 bytes); those of all training texts need not.
+_TOTAL = np.uint64
 
 
 @dataclass(frozen=True)
@@ -261,7 +263,7 @@ def _ask(messages: DataFrame, owners: int, answer) -> DataFrame:
 
 
 def _word_counts(lists: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    return [counts[np.searchsorted(keys, own)].astype(np.uint32).tobytes() for own in lists]
+    return [counts[np.searchsorted(keys, own)].astype(_TOTAL).tobytes() for own in lists]
 
 
 def quantiser(total: int, settings: Settings) -> float:
@@ -336,7 +338,7 @@ def score_documents(
                 for row in batch.to_pylist():
                     texts = row["texts"]
                     _, word, text = _keys("word", texts)
-                    counts = _joined(row["words"], np.uint32)[word].astype(np.float64)
+                    counts = _joined(row["words"], _TOTAL)[word].astype(np.float64)
                     _, pair, _ = _keys("pair", texts)
                     codes = _joined(row["pairs"], np.uint8)[pair].astype(np.float64)
                     base = (counts + 1) / (total + distinct + 1)

@@ -3,11 +3,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from passageloom.llm import language_model
 from passageloom.llm.common import held_out
+from passageloom.llm.exchange import pack
 from passageloom.llm.language_model import EliasFano, Settings, Trie
 
 
@@ -69,3 +71,12 @@ def test_trie(tmp_path):
         asked = np.unique(np.concatenate([keys, keys + np.uint64(1), np.arange(0, 400, dtype=np.uint64) << np.uint64(32)]))
         known = dict(zip(keys.tolist(), codes.tolist()))
         assert trie.look_up(asked).tolist() == [known.get(k, 255) for k in asked.tolist()]
+
+
+def test_totals_over_32_bits():
+    keys = np.array([3, 8], np.uint64)
+    block = np.array([1, 3 * 10**9], np.uint32).tobytes()
+    pdf = pd.DataFrame({"owner": [0, 0], "keys": [pack(keys, 0)] * 2, "counts": [block] * 2})
+    replies = language_model._word_counts(*language_model._merged(pdf, 1))
+    for reply in replies:
+        assert language_model._joined([{"reply": reply}], language_model._TOTAL).tolist() == [2, 6 * 10**9]
