@@ -5,7 +5,9 @@ from pyspark.sql import types as T
 
 from passageloom.llm import near_dedup
 from passageloom.llm.components import components
+from passageloom.llm.exchange import pack, unpack
 from passageloom.llm.near_dedup import Settings
+from passageloom.llm.words import _STEPS, ngrams
 
 
 def brute(rows, percent):
@@ -77,3 +79,18 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_shingles_that_differ_in_their_last_bits_only():
+    values = np.array([1 << 63, (1 << 63) + 1, (1 << 63) + (1 << 15)], np.uint64)
+    # The words whose one-word shingles have these hashes: ``mix`` and the step undone.
+    h = values ^ (values >> np.uint64(32))
+    h = h * np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+    h = h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(58))
+    h = h * np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    h = h ^ (h >> np.uint64(32))
+    words = (h - np.uint64(1)) * np.uint64(pow(int(_STEPS[0]), -1, 1 << 64))
+    assert ngrams(words, 1).tolist() == values.tolist()
+    own = near_dedup.shingles(words, 1)
+    assert len(own) == 3
+    assert unpack(pack(own, 0), 0).tolist() == values.tolist()
