@@ -186,6 +186,9 @@ def mixed_documents(
     rows = store_documents(docs, id_col, text_col, "documents", source_col)
     mixed = mix(rows, "doc_id", "text", "source", weights, max_epochs, keep=("part", "pos"))
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").cast("string")
-    taken = bring_digits(rows, mixed.select("part", "pos", copies.alias("digit")), "_copies").filter("_copies > '0'")
-    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    width = len(str(max_epochs))
+    digits = mixed.select("part", "pos", F.lpad(copies, width, "0").alias("digit"))
+    counted = bring_digits(rows, digits, "_copies", width).withColumn("_copies", F.col("_copies").cast("int"))
+    taken = counted.filter("_copies > 0")
+    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
     return unpack_documents(repeated, docs, text_col)

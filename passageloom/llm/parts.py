@@ -52,13 +52,13 @@ def unpack_documents(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFra
     return rows.select(*(F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
-def bring_digits(rows: DataFrame, digits: DataFrame, name: str) -> DataFrame:
-    """``rows`` with the one-character ``digit`` that ``digits`` (``part, pos, digit``) has for each of them.
+def bring_digits(rows: DataFrame, digits: DataFrame, name: str, width: int = 1) -> DataFrame:
+    """``rows`` with the ``digit`` of ``width`` characters that ``digits`` (``part, pos, digit``) has for each of them.
 
-    A part's digits become one string, as long as the part has rows, and a row
-    picks its own by its place; the rows themselves stay where they are.
+    A part's digits become one string, ``width`` times as long as the part has rows,
+    and a row picks its own by its place; the rows themselves stay where they are.
     """
     lists = digits.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "digit"))).alias("_list"))
     strings = lists.select("part", F.array_join(F.transform("_list", lambda x: x["digit"]), "").alias("_digits"))
-    picked = F.substring("_digits", (F.col("pos") + 1).cast("int"), F.lit(1))
+    picked = F.substring("_digits", (F.col("pos") * width + 1).cast("int"), F.lit(width))
     return rows.join(strings, "part").withColumn(name, picked).drop("_digits")

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +70,11 @@ def test_plan_is_native(docs, plan):
 def test_one_source_takes_everything_once(spark, source):
     docs = spark.createDataFrame([(i, "a b c", source) for i in range(20)], "doc_id long, text string, source string")
     assert {(r.size, r.taken) for r in mixing.mix(docs).collect()} == {(3, 3)}
+
+
+def test_ten_and_more_copies(spark):
+    small, large = [(i, "a b", "a") for i in range(6)], [(100 + i, "c d e", "b") for i in range(60)]
+    docs = spark.createDataFrame(small + large, "doc_id long, text string, source string").coalesce(1)
+    out = Counter(r.doc_id for r in mixing.mixed_documents(docs, weights=(50, 1), max_epochs=12).collect())
+    want = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, weights=(50, 1), max_epochs=12).collect() if r.taken}
+    assert max(want.values()) == 12 and out == want
