@@ -90,6 +90,13 @@ def _timed(messages: DataFrame) -> DataFrame:
     return messages.withColumn("ts", start + step)
 
 
+def _by_parity(pairs: DataFrame) -> list[DataFrame]:
+    """Appends to a log, where the ids of each go on from the one before; every row is in one of them."""
+    # The remainder of a negative odd id is -1, that of a null is null.
+    remainder = F.col("conv_id") % 2
+    return [pairs.filter(remainder.eqNullSafe(F.lit(value))) for value in (-1, 0, 1, None)]
+
+
 # Sources and sinks
 
 
@@ -146,9 +153,8 @@ def activity_log(spark, d):
     path = scratch_path(spark, "activity")
     messages = _timed(_messages(spark, d))
     pairs = conv.pair_turns(messages, keep=("ts",))
-    # Two appends: the ids of the second go on from the first.
-    for remainder in (0, 1):
-        files.append_activity(pairs.filter(F.col("conv_id") % 2 == remainder), path)
+    for part in _by_parity(pairs):
+        files.append_activity(part, path)
     return files.read_activity(spark, path)
 
 
@@ -379,8 +385,8 @@ def finish_answers(spark, d):
 def answer_log(spark, d):
     path = scratch_path(spark, "answers")
     done = materialize(_timed(_finished(spark, d)), "finished")
-    for remainder in (0, 1):
-        files.append_activity(done.filter(F.col("conv_id") % 2 == remainder), path)
+    for part in _by_parity(done):
+        files.append_activity(part, path)
     return files.read_activity(spark, path)
 
 

@@ -45,3 +45,19 @@ def test_entry(spark):
     rows = entry_point.entry(spark)
     assert rows.columns == ["query_id", "conv_id", "turn", "asked", "question", "canned", "prompt", "references", "request"]
     assert rows.count() == 14
+
+
+def test_log_keeps_every_conversation(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t}") for c in (-4, -3, -1, 0, 1, 2) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["activity_log"](spark, str(tmp_path)).toPandas()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = connection.execute(SQL["activity_log"]).df()
+    assert len(got) == 12 and normal(got, sorted(want.columns)) == normal(want, sorted(want.columns))
+
+
+def test_appends_hold_every_row(spark):
+    pairs = spark.createDataFrame([(c,) for c in (-3, -2, 0, 1, None)], "conv_id long")
+    held = [r.conv_id for part in registry._by_parity(pairs) for r in part.collect()]
+    assert held == [-3, -2, 0, 1, None]
