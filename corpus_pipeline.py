@@ -8,7 +8,6 @@ the result; ``tests/llm`` hold it against a brute-force version.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +16,6 @@ from passageloom.llm.common import held_out, table
 from passageloom.session import materialize, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-# Folders in the shared scratch folder that earlier stages of an application made, by application.
-_made: dict[str, set[str]] = {}
 
 
 def _folders(spark: SparkSession) -> tuple[object, set[str]]:
@@ -29,57 +26,36 @@ def _folders(spark: SparkSession) -> tuple[object, set[str]]:
     return files, {status.getPath().toString() for status in found}
 
 
-def _tidy(stage: Stage) -> Stage:
-    """``stage``, after deleting what earlier stages stored, unless ``docs`` still reads it.
+def _tidy(spark: SparkSession, before: set[str], docs: DataFrame) -> None:
+    """Deletes the folders made since there were those of ``before``, unless ``docs`` reads them."""
+    files, now = _folders(spark)
+    read = [path.split(":", 1)[-1].lstrip("/") for path in docs.inputFiles()]
+    for folder in now - before:
+        if not any(path.startswith(folder.split(":", 1)[-1].lstrip("/") + "/") for path in read):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
-    A stage's result is written before the next one starts, so its intermediate
-    tables have served; without this, every stage would leave a copy of the texts.
-    """
 
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        made = _made.setdefault(spark.sparkContext.applicationId, set())
-        files, before = _folders(spark)
-        read = [path.split(":", 1)[-1].lstrip("/") for path in docs.inputFiles()]
-        # Cached rows don't tell what they were made of, and may have to be made again.
-        cached = "InMemoryRelation" in docs._jdf.queryExecution().optimizedPlan().toString()
-        for folder in [] if cached else list(made & before):
-            if not any(path.startswith(folder.split(":", 1)[-1].lstrip("/") + "/") for path in read):
-                files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
-                made.discard(folder)
-        out = stage(spark, docs, sf_dir)
-        made |= _folders(spark)[1] - before
-        return out
-
-    return run
-
-
-@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, doesn't reject."""
     labels = table(spark, sf_dir, "labels")
     return classifier.keep_good(docs, labels.filter(~held_out(labels["doc_id"], 4)))
 
 
-@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
     return exact_dedup.distinct_documents(docs)
 
 
-@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, at a similarity of 0.8 of five-word shingles."""
     return near_dedup.drop_near_copies(docs)
 
 
-@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of every source as often as its weight asks for."""
     return mixing.mixed_documents(docs)
 
 
-@_tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_ids, ids, round_trip`` of every document of the mix."""
     return pieces.encode(docs)
@@ -90,8 +66,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next.
+
+    What a stage stored is deleted when its result has been written. A stage called
+    on its own deletes nothing, as its result is lazy: ``session.drop_scratch`` does.
+    One run at a time in an application.
+    """
     docs = table(spark, sf_dir, "documents")
+    _, before = _folders(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        _tidy(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,3 +37,18 @@ def test_no_near_copies_are_left(spark, table_dir):
     left = corpus_pipeline.near(spark, corpus_pipeline.exact(spark, docs, table_dir), table_dir)
     again = group_near_copies(left, settings=Settings()).collect()
     assert all(r.kept for r in again)
+
+
+def test_a_lazy_result_outlives_other_stages(spark, table_dir):
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet")
+    first = corpus_pipeline.exact(spark, docs, table_dir)
+    second = corpus_pipeline.exact(spark, docs, table_dir)
+    assert Counter(map(str, first.collect())) == Counter(map(str, second.collect()))
+
+
+def test_run_leaves_what_its_result_reads(spark, table_dir):
+    _, before = corpus_pipeline._folders(spark)
+    out = corpus_pipeline.run(spark, table_dir)
+    left = {folder.rpartition("/")[2].rpartition("-")[0] for folder in corpus_pipeline._folders(spark)[1] - before}
+    assert "mixing" in left and not left & {"quality", "exact_dedup", "near_dedup", "documents", "shingles", "classes"}
+    assert out.count()
