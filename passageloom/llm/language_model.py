@@ -5,6 +5,7 @@ is dealt over ``_SPREAD`` nodes by its successors, so that a common word is no
 hot key. Level one holds the node numbers, level two the successors of each
 node, both as Elias-Fano sequences with monotone pointers between them, and one
 byte per successor for the quantised, discounted probability of the pair.
+A shard lives in its owner's task, is asked once and dropped; no model is kept.
 """
 
 from __future__ import annotations
