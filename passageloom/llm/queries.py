@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageloom.llm import classifier, exact_dedup, language_model, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
+from passageloom.llm import classifier, exact_dedup, language_model, line_dedup, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,3 +251,24 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BA
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM base LEFT JOIN by_doc USING (rid)
 """
+
+
+@query
+def op11_line_dedup(spark, d):
+    return line_dedup.drop_repeated_lines(table(spark, d, "documents"), with_text=False)
+
+
+SQL["op11_line_dedup"] = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10)) AS lines,
+    row_number() OVER () AS rid FROM documents),
+lined AS (SELECT rid, d, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM base),
+keyed AS (
+  SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lined),
+judged AS (
+  SELECT rid, i, line, length(key) >= {line_dedup.MIN_CHARS} AND d > min(d) OVER (PARTITION BY key) AS dropped FROM keyed)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM base JOIN judged USING (rid) GROUP BY rid
+"""
