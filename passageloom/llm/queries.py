@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageloom.llm import classifier, exact_dedup, language_model, line_dedup, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
+from passageloom.llm import classifier, conversation_repair, exact_dedup, language_model, line_dedup, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,3 +272,109 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (droppe
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM base JOIN judged USING (rid) GROUP BY rid
 """
+
+
+@query
+def op12_conversation_repair(spark, d):
+    messages = table(spark, d, "conversations")
+    reports = conversation_repair.repair_conversations(conversation_repair.damage(messages))
+    ids = messages.select("conv_id").distinct().withColumn("c", conversation_repair.conversation_key(F.col("conv_id")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(reports, "c", "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string in DuckDB, beside the column ``t`` of ``crc_table``."""
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {step}), 4294967295)"
+
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i))"""
+# State before, letter, edit, state after, cost; a truncated message that stays costs more.
+_STEPS = ", ".join(
+    f"({s}, '{letter.upper() if late else letter}', '{edit}', {after}, {cost + 5 * late})"
+    for s, role, after in ((0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2))
+    for letter in "suax"
+    for late in (0, 1)
+    for edit, cost in (("K", 0), ("R", 1))
+    if (edit == "K" and letter == role) or (edit == "R" and role != "s")
+)
+_INSERTS = "(0, '', 0, 0), (1, '', 1, 0), (2, '', 2, 0), (3, '', 3, 0), (0, 'I', 2, 5), (1, 'I', 2, 5), (2, 'I', 3, 5), (3, 'I', 2, 5), (0, 'II', 3, 10), (1, 'II', 3, 10)"
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+messages AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM messages, range(2) AS copies(copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+first_faults AS (
+  SELECT *, NOT regexp_matches(text, '{_WORD}') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), '[.!?]$') AS open_end,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair,
+    CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS initial
+  FROM placed),
+lettered AS (
+  SELECT *, CASE WHEN blank OR again THEN 'D' WHEN open_end THEN upper(initial) ELSE initial END AS letter
+  FROM first_faults),
+convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT again AND open_end) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, string_agg(letter, '' ORDER BY i) AS letters
+  FROM lettered GROUP BY conv_id),
+steps(before, letter, edit, mid, cost) AS (VALUES {_STEPS}),
+inserts(mid, more, state, extra) AS (VALUES {_INSERTS}),
+walk AS (
+  SELECT conv_id, letters, 0 AS i, state, CAST(extra AS BIGINT) AS cost, CAST(more AS VARCHAR) AS audit
+  FROM convs, inserts WHERE mid = 0
+  UNION ALL
+  SELECT conv_id, letters, i, state, cost, audit FROM (
+    SELECT w.conv_id, w.letters, w.i + 1 AS i, n.state, w.cost + s.cost + n.extra AS cost, w.audit || s.edit || n.more AS audit
+    FROM walk w
+    JOIN (SELECT * FROM steps UNION ALL
+      SELECT before, letter, 'D', before, 2 FROM range(4) AS b(before), (SELECT unnest(string_split('suaxSUAXD', '')) AS letter)
+    ) s ON s.before = w.state AND s.letter = substr(w.letters, w.i + 1, 1)
+    JOIN inserts n ON n.mid = s.mid)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+repaired AS (
+  SELECT conv_id, cost, audit FROM walk WHERE i = length(letters) AND state IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS k
+  FROM repaired WHERE audit <> ''),
+placed_edits AS (
+  SELECT conv_id, k, edit, count(*) FILTER (edit <> 'I') OVER o AS i, count(*) FILTER (edit <> 'D') OVER o AS place
+  FROM edits WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+staying AS (
+  SELECT e.conv_id, e.k, e.edit, e.place, CASE WHEN e.edit = 'I' THEN '' ELSE l.text END AS text, l.role,
+    bool_or(e.edit = 'K' AND l.initial = 's') OVER (PARTITION BY e.conv_id) AS has_system
+  FROM placed_edits e LEFT JOIN lettered l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.i = e.i
+  WHERE e.edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (place - CAST(has_system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || text, chr(10) ORDER BY k) AS text
+  FROM staying GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

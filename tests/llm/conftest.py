@@ -36,6 +36,26 @@ def awkward_rows():
     return [*rows, rows[7], (None, base, None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
 
 
+# The last three are names that operators use inside.
+MESSAGES = "conv_id long, turn long, role string, text string, c string, position long, letter string"
+
+
+def awkward_messages():
+    """Nulls in every column, gaps, equal turns, repeated rows, empty and long texts, unknown roles, one long conversation."""
+    rng = random.Random(5)
+    ends = [".", "?", "!", "", " ", ".\u00a0", "!\n"]
+
+    def text():
+        return rng.choice([None, "", " \t\n", "Same text.", prose(rng, rng.randint(1, 30)), prose(rng, 5)[:-1] + rng.choice(ends)])
+
+    def row(conv, turn):
+        return (conv, turn, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "úser"]), text(), "x", 7, "D")
+
+    rows = [row(c, rng.choice([None, t, t, t, 2 * t, t - 1])) for c in [None, -3, *range(60)] for t in range(rng.randint(1, 9))]
+    rows += [row(99, t) for t in range(1300)] + [(98, 0, "user", "long " * 100_000, None, None, None), (97, 0, None, None, None, None, None)]
+    return rows + rows[:5] + rows[10:12] * 3
+
+
 @pytest.fixture(scope="session")
 def rows():
     return awkward_rows()
@@ -61,4 +81,5 @@ def table_dir(spark, docs, tmp_path_factory):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y#z", "https://x.org", "https://x.org/fr/a",
             "http://cheap-pills.example.com/", "http://casinos.com/casino", "http://a.com/p?cheap=1&win=2", "http://net/"]
     spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(awkward_messages(), MESSAGES).write.parquet(f"{folder}/conversations.parquet")
     return folder

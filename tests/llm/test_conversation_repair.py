@@ -1,0 +1,172 @@
+"""Conversation repair against exhaustive search and a plain dynamic programme."""
+
+import hashlib
+import itertools
+import random
+import time
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from passageloom.llm import conversation_repair as repair
+
+RESULT = {"s": "s", "u": "u", "a": "a"}
+
+
+def allowed(roles):
+    rest = roles[1:] if roles[:1] == "s" else roles
+    return roles == "" or (len(rest) >= 2 and rest == "ua" * (len(rest) // 2))
+
+
+def exhaustive(letters, inserts=2):
+    """Every choice of edits, with up to ``inserts`` insertions."""
+    best = None
+    for edits in itertools.product("KRuRaD".replace("R", ""), repeat=len(letters)):
+        if any(x == "D" and e != "D" for x, e in zip(letters, edits)):
+            continue
+        cost = sum({"K": 0, "u": 1, "a": 1, "D": 2}[e] + 5 * (x.isupper() and x != "D" and e != "D") for x, e in zip(letters, edits))
+        parts = [x.lower() if e == "K" else "" if e == "D" else e for x, e in zip(letters, edits)]
+        audit = ["R" if e in "ua" else e for e in edits]
+        for count in range(inserts + 1):
+            for places in itertools.combinations_with_replacement(range(len(letters) + 1), count):
+                for roles in itertools.product("ua", repeat=count):
+                    out, text, k = [], "", 0
+                    for i in range(len(letters) + 1):
+                        while k < count and places[k] == i:
+                            text, k = text + roles[k], k + 1
+                            out.append("I")
+                        if i < len(letters):
+                            text += parts[i]
+                            out.append(audit[i])
+                    if allowed(text) and (best is None or (cost + 5 * count, "".join(out)) < best):
+                        best = cost + 5 * count, "".join(out)
+    return best
+
+
+def programme(letters):
+    """The best way to each state, message by message."""
+    follow = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def inserting(ways):
+        for _ in range(3):
+            for state, (cost, audit) in list(ways.items()):
+                after = follow[state]["a" if state == 2 else "u"]
+                ways[after] = min(ways.get(after, (10**9, "")), (cost + 5, audit + "I"))
+        return ways
+
+    ways = inserting({0: (0, "")})
+    for x in letters:
+        new = {}
+        for state, (cost, audit) in ways.items():
+            found = [(state, cost + 2, "D")]
+            if x != "D":
+                late = 5 * x.isupper()
+                found += [(n, cost + late, "K") for r, n in follow[state].items() if r == x.lower()]
+                found += [(n, cost + late + 1, "R") for r, n in follow[state].items() if r != "s"]
+            for n, c, e in found:
+                new[n] = min(new.get(n, (10**9, "")), (c, audit + e))
+        ways = inserting(new)
+    return min(w for s, w in ways.items() if s in (0, 3))
+
+
+def whole(letters):
+    return tuple(*repair.whole_repair(letters).values())
+
+
+def test_search_equals_exhaustive_search():
+    for n in range(4):
+        for letters in itertools.product("suaxUD", repeat=n):
+            assert whole("".join(letters)) == exhaustive("".join(letters))
+
+
+def test_search_equals_programme():
+    rng = random.Random(2)
+    for _ in range(1500):
+        letters = "".join(rng.choice("suaxSUAXDuaua") for _ in range(rng.randint(0, 40)))
+        assert whole(letters) == programme(letters)
+
+
+def test_bounds_never_exceed_the_cost():
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = "".join(rng.choice("suaxUAD") for _ in range(12))
+        for start, end in itertools.product(range(4), repeat=2):
+            found = repair.search(letters, start, frozenset([end]))
+            if found:
+                assert repair.suffix_bounds(letters, frozenset([end]))[0][start] <= found.cost
+
+
+@pytest.mark.parametrize("letters", ["u", "a", "s", "x", "D", "uuaa", "uA", "sx", "uuaD", "UsAx"])
+def test_long_runs_stay_fast(letters):
+    letters = (letters * repair.SEGMENT)[: repair.SEGMENT]
+    start = time.time()
+    assert whole(letters) == programme(letters)
+    repair.repair_table(letters)
+    assert time.time() - start < 10
+
+
+def test_segments_compose():
+    rng = random.Random(4)
+    for _ in range(200):
+        letters = "".join(rng.choice("suaxUAD") for _ in range(20))
+        cut = rng.randint(1, 19)
+        both = repair.compose(repair.repair_table(letters[:cut]), repair.repair_table(letters[cut:]))
+        assert min(both[k] for k in both if k[0] == 0 and k[1] in (0, 3)) == programme(letters)
+
+
+@pytest.mark.parametrize("segment", [2, 7])
+def test_segments_give_the_same_reports(spark, table_dir, segment):
+    messages = spark.read.parquet(f"{table_dir}/conversations.parquet").filter("conv_id < 30 or conv_id = 99").filter("turn < 150")
+    one = repair.repair_conversations(messages)
+    parts = repair.repair_conversations(messages, segment)
+    assert sorted(one.collect()) == sorted(parts.collect())
+
+
+def test_damage_and_repaired_messages(spark):
+    rows = [(c, t, r, f"Text {t}.") for c in range(40) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])]
+    damaged = repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    expected = {}
+    for c, t, r, x in rows:
+        code = zlib.crc32(f"{c}:{t}".encode()) % 20
+        got = [] if code == 0 else [("user" if code == 4 else r, "" if code == 1 else x.replace(".", "") if code == 2 else x)]
+        expected[c, t] = got * (2 if code == 3 else 1)
+    found = {}
+    for m in damaged.collect():
+        found.setdefault((m.conv_id, m.turn), []).append((m.role, m.text))
+    assert found == {k: v for k, v in expected.items() if v}
+    stored, judged = repair.faults(damaged)
+    fixed = repair.repairs(judged).cache()
+    texts = {}
+    for m in repair.repaired_messages(stored, judged, fixed).orderBy("c", "place").collect():
+        assert m.place == len(texts.setdefault(m.c, []))
+        texts[m.c].append((m.role, m.text))
+    for messages in texts.values():
+        assert allowed("".join(role[0] for role, _ in messages))
+    reports = {r.c: r for r in repair.repair_conversations(damaged).collect()}
+    assert len(reports) == damaged.select("conv_id").distinct().count()
+    for c, report in reports.items():
+        text = "\n".join(f"{role}:{text}" for role, text in texts.get(c, []))
+        assert report.repaired_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_hand_made_conversations(spark):
+    def report(*messages):
+        rows = [(1, t, r, x) for t, (r, x) in enumerate(messages)]
+        return repair.repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+
+    fine = report(("system", "Be kind."), ("user", "Why?"), ("assistant", "So."))
+    assert (fine.cost, fine.audit, fine.illegal, fine.truncated) == (0, "KKK", 0, 0)
+    twice = report(("user", "Why?"), ("user", "Why?"), ("assistant", "So."))
+    assert (twice.cost, twice.audit, twice.duplicate, twice.illegal) == (2, "KDK", 1, 1)
+    alone = report(("user", "Why?"))
+    assert (alone.cost, alone.audit, alone.repaired_sha256) == (2, "D", hashlib.sha256(b"").hexdigest())
+    cut = report(("user", "Why?"), ("assistant", "Because"), ("user", "And"), ("assistant", "Yes."))
+    assert (cut.cost, cut.audit, cut.truncated) == (4, "KDDK", 2)
+    assert fine.gaps == 0 and report(("user", " "), ("user", None)).blank == 2
+
+
+def test_empty_and_extra_columns(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert repair.repair_conversations(empty).collect() == []
+    assert repair.damage(empty.withColumn("_copy", F.lit(1))).collect() == []

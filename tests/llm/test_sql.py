@@ -11,7 +11,7 @@ from passageloom.llm import queries
 @pytest.fixture(scope="module")
 def duck(table_dir):
     con = duckdb.connect()
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{table_dir}/{name}.parquet/*.parquet'")
     return con
 
@@ -43,4 +43,5 @@ def test_empty_tables(spark, nothing, tmp_path, name):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
