@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageloom.llm import classifier, conversation_repair, exact_dedup, language_model, line_dedup, line_quality, mixing, near_dedup, pieces, secret_scan, suffix_dedup, url_filter
+from passageloom.llm import classifier, conversation_repair, exact_dedup, language_model, line_dedup, line_quality, mixing, near_dedup, pieces, secret_scan, spelling, suffix_dedup, url_filter
 from passageloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +378,52 @@ LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+@query
+def op13_spelling_variants(spark, d):
+    return spelling.variant_groups(spelling.count_words(table(spark, d, "documents"), damage=True))
+
+
+# Splits as strings; every word of the table against all others through them.
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, count(*) AS times, run FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY doc_id, run),
+summed AS (
+  SELECT id, run, times, hex(encode(id || ':' || run)) AS h, t FROM runs, crc_table),
+checked AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM summed),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN crc % 199 = 0
+      THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM checked)
+  WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.MIN_COUNT}),
+skips AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS before, substr(word, i + 1) AS after
+  FROM words, range(1, 100000) AS r(i) WHERE i <= length(word)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM skips a JOIN skips b USING (i, before, after) WHERE a.word <> b.word
+  UNION
+  SELECT a.word, a.n, w.word, w.n FROM skips a JOIN words w ON w.word = a.before || a.after
+  UNION
+  SELECT w.word, w.n, a.word, a.n FROM skips a JOIN words w ON w.word = a.before || a.after),
+best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+  FROM near GROUP BY word, n),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.RATIO} * w.n THEN other END AS form,
+    CASE WHEN other_n >= {spelling.RATIO} * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS place, form FROM formed
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.form)
+SELECT word, n, n_near, f.form, form_n, place AS root
+FROM formed f JOIN (SELECT word, place FROM chain WHERE form IS NULL) USING (word)
+"""
