@@ -35,6 +35,22 @@ def word_chunks(text: str, size: int, overlap: int) -> list[str]:
         first = max(first + 1, min(final + 1, following))
 
 
+def chunk_links(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """For every word as the start of a chunk: its last word, and the start of the chunk after it.
+
+    ``lengths`` are those of words of at most ``size``. After a chunk that ends with the last word comes none:
+    its next start is the number of words.
+    """
+    ends = list(accumulate(lengths, lambda end, n: end + 1 + n))
+    starts = [end - n for end, n in zip(ends, lengths)]
+    last, links = len(lengths) - 1, []
+    for first, start in enumerate(starts):
+        final = max(first, bisect_right(ends, start + size) - 1)
+        following = bisect_left(starts, ends[final] - overlap)
+        links.append((final, last + 1 if final == last else max(first + 1, min(final + 1, following))))
+    return links
+
+
 def common_subsequence(left: list[str], right: list[str]) -> int:
     """Length of the longest common subsequence, with one bit per left token."""
     places: dict[str, int] = {}

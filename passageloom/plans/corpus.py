@@ -11,6 +11,8 @@ from passageloom import schemas
 from passageloom.functions.text import clean_page_text
 from passageloom.operators.chunking import chunk_words
 from passageloom.operators.corpus import with_file_url, with_language, with_title
+from passageloom.operators.joins import spread_join
+from passageloom.operators.paged_chunks import chunk_pages
 
 FILE_BASE = "files://corpus/"
 
@@ -28,7 +30,22 @@ def chunk_table(
     chunker: Callable[[DataFrame], DataFrame] = chunk_words,
 ) -> DataFrame:
     """The chunk table of cleaned file texts; ``language`` overrides the file's own."""
-    pieces = chunker(files.withColumn("text", clean_page_text(F.col("text"))))
+    return _named(chunker(files.withColumn("text", clean_page_text(F.col("text")))), base, language)
+
+
+def paged_chunk_table(
+    files: DataFrame, pages: DataFrame, base: str = FILE_BASE, language: str | None = None, mode: str = "reference"
+) -> DataFrame:
+    """The chunk table of files given as ``pages`` (``relative_path, page_no, text``); ``files`` has their other columns.
+
+    No file is assembled, so files may be of any size. Pages of files that ``files`` doesn't list are left out.
+    """
+    pieces = chunk_pages(pages, mode=mode)
+    others = files.select("doc_id", "relative_path", "language")
+    return _named(spread_join(pieces, others, ["relative_path"], ["chunk_no"]), base, language)
+
+
+def _named(pieces: DataFrame, base: str, language: str | None) -> DataFrame:
     if language is not None:
         pieces = with_language(pieces, language)
     return with_title(with_file_url(pieces, base)).select(*schemas.CHUNKS.fieldNames())

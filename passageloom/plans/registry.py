@@ -18,7 +18,7 @@ from passageloom.operators.corpus import project
 from passageloom.operators.index import KEY, index_chunks
 from passageloom.operators.pages import assemble_pages
 from passageloom.plans import answers, evaluation
-from passageloom.plans.corpus import chunk_table, staged_files
+from passageloom.plans.corpus import chunk_table, paged_chunk_table, staged_files
 from passageloom.session import materialize, scratch_path
 from passageloom.sources import files
 from passageloom.streaming.activity_stream import activity_stream, read_log
@@ -397,10 +397,10 @@ def paged_chunks(spark, d):
         F.col("turn").alias("page_no"),
         F.when(F.col("turn") % 5 != 3, F.col("text")).alias("text"),
     )
-    texts = assemble_pages(pages).select(
-        F.col("relative_path").cast("long").alias("doc_id"), "relative_path", F.lit(LANGUAGE).alias("language"), "text"
-    )
-    return chunk_table(texts)
+    named = pages.select(
+        F.col("relative_path").cast("long").alias("doc_id"), "relative_path", F.lit(LANGUAGE).alias("language")
+    ).distinct()
+    return paged_chunk_table(named, pages)
 
 
 @query
