@@ -290,11 +290,22 @@ finished AS MATERIALIZED (
 )
 
 
+_COUNTED_TERMS = "SELECT term, count(*) AS df, count(*) AS chunks, sum(tf)::BIGINT AS tf FROM postings GROUP BY term"
+
 SQL: dict[str, str] = {
     "src_listing": "SELECT DISTINCT source FROM documents",
     "src_extension": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%.html'",
     "src_latest": """SELECT user_id, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "source_changes": """WITH before AS (
+  SELECT user_id, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-16'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+after AS (
+  SELECT user_id, ts, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-08'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, CASE WHEN b.event_id IS NULL THEN 'added' WHEN a.event_id IS NULL THEN 'gone' ELSE 'changed' END AS change
+FROM before b FULL JOIN after a USING (user_id)
+WHERE (b.ts, b.event_id) IS DISTINCT FROM (a.ts, a.event_id)""",
     "scan_chunks": _with(*_CORPUS)
     + "SELECT doc_id, chunk_no, relative_path, language, length(chunk)::INTEGER AS chunk_chars FROM chunks",
     "eval_pairs": _with(_PAIRS) + "SELECT * FROM pairs",
@@ -327,8 +338,8 @@ FROM (SELECT doc_id, text, unnest(range(1 + ceil(greatest(0, length(text) - 2000
     + """SELECT query_id, chr(10) || chr(10) || '**References:**' || chr(10)
        || string_agg('- ' || relative_path || chr(10), '' ORDER BY rank) AS "references"
 FROM hits JOIN chunks USING (doc_id, chunk_no) GROUP BY query_id""",
-    "index_refresh": _with(*_CORPUS, _POSTINGS)
-    + "SELECT term, count(*) AS df, count(*) AS chunks, sum(tf)::BIGINT AS tf FROM postings GROUP BY term",
+    "index_refresh": _with(*_CORPUS, _POSTINGS) + _COUNTED_TERMS,
+    "index_merged": _with(*_CORPUS, _POSTINGS) + _COUNTED_TERMS,
     "history_last_n": """SELECT conv_id, turn, role, text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5""",
     "history_without_current": """SELECT conv_id, turn, role, text FROM conversations
@@ -342,7 +353,12 @@ GROUP BY conv_id""",
     "limit_words": f"""SELECT conv_id, turn,
        CASE WHEN len(ws) > 10 THEN array_to_string(ws[1:10], ' ') ELSE text END AS limited
 FROM (SELECT *, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '') AS ws FROM conversations)""",
-    "route_canned": f"SELECT conv_id, turn, {_case("lower(upper(split_part(text, ' ', 1)))", r.REPLIES)} AS canned FROM conversations",
+    "route_canned": f"""WITH normal AS (
+  SELECT conv_id, turn, lower(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS phrase FROM conversations),
+phrases AS (
+  SELECT phrase, row_number() OVER (ORDER BY length(phrase), phrase) AS n FROM (SELECT DISTINCT phrase FROM normal))
+SELECT conv_id, turn, [{", ".join(map(_lit, r.REPLIES))}][n] AS canned FROM normal
+LEFT JOIN (SELECT * FROM phrases WHERE n <= {len(r.REPLIES)}) USING (phrase)""",
     "append_note": _with(_QA)
     + f"SELECT conv_id, turn, answer || CASE WHEN contains(lower(question), {_lit(r.KEYWORD)}) THEN {_lit(r.NOTE)} ELSE '' END AS answer FROM qa",
     "escape_text": """SELECT conv_id, turn, replace(t, '''', '') AS unquoted, replace(t, '$', '\\$') AS escaped

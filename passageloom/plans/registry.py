@@ -31,7 +31,7 @@ _QUERIES: dict[str, Query] = {}
 LANGUAGE = "es"
 KEYWORD = "the"
 NOTE = " (see the note)"
-REPLIES = {"the": "fixed reply one", "of": "fixed reply two"}
+REPLIES = ["fixed reply one", "fixed reply two", "fixed reply three"]
 FALLBACK = "nothing found"
 ROUTED = {"@and": [{"@eq": {"language": LANGUAGE}}]}
 MODEL = answers.MODELS[0]
@@ -122,6 +122,15 @@ def src_latest(spark, d):
     )
 
 
+@query
+def source_changes(spark, d):
+    """Two listings of the users' newest events: as of mid-month, and of the days since the 8th."""
+    events = _read(spark, d, "events")
+    before = files.latest_per_path(events.filter("ts < timestamp_ntz'2024-01-16'"), "user_id", ["ts", "event_id"])
+    after = files.latest_per_path(events.filter("ts >= timestamp_ntz'2024-01-08'"), "user_id", ["ts", "event_id"])
+    return files.source_changes(before, after, "user_id", ("ts", "event_id"))
+
+
 @query
 def scan_chunks(spark, d):
     return _stored_chunks(spark, d).select(*KEY, "relative_path", "language", F.length("chunk").alias("chunk_chars"))
@@ -246,6 +255,22 @@ def filtered_context(spark, d):
     return retrieval.context_and_references(hits).select("query_id", "context", "references")
 
 
+@query
+def index_merged(spark, d):
+    """Documents in four batches of languages, each with older texts of the next one's; read after a merge."""
+    store = IndexStore(scratch_path(spark, "store"))
+    documents = materialize(_documents(spark, d), "documents")
+    older = documents.withColumns({"text": F.upper(F.reverse("text")), "n_chars": F.lit(-1).cast("long")})
+    group = F.when(F.col("lang").isin("en", "de", "fr"), F.col("lang")).otherwise(F.lit("others"))
+    for number, (rows, ahead) in enumerate([("en", "de"), ("de", "fr"), ("fr", "others"), ("others", "others")]):
+        batch = documents.filter(group == rows).unionByName(older.filter(group == ahead))
+        store.add(batch, number, ["n_chars"])
+    store.merge(spark)
+    index = store.index(spark)
+    counts = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("chunks"))
+    return index.terms.join(counts, "term").select("term", "df", "chunks", "tf")
+
+
 @query
 def index_refresh(spark, d):
     path = scratch_path(spark, "store")
@@ -291,10 +316,13 @@ def limit_words(spark, d):
 
 @query
 def route_canned(spark, d):
-    # The first word of each message, in capitals and between white space.
-    first = F.upper(F.substring_index(F.col("text"), " ", 1))
-    asked = _messages(spark, d).select("conv_id", "turn", F.concat(F.lit(" \t"), first, F.lit("\n")).alias("question"))
-    return conv.route_canned(asked, REPLIES).select("conv_id", "turn", "canned")
+    messages = _messages(spark, d)
+    # The phrases are the shortest messages there are.
+    phrase = F.lower(tx.strip_space(F.col("text")))
+    shortest = messages.select(phrase.alias("phrase")).distinct().orderBy(F.length("phrase"), "phrase").limit(len(REPLIES))
+    replies = dict(zip([row.phrase for row in shortest.collect()], REPLIES))
+    asked = messages.select("conv_id", "turn", F.concat(F.lit(" \t"), F.col("text"), F.lit("\n")).alias("question"))
+    return conv.route_canned(asked, replies).select("conv_id", "turn", "canned")
 
 
 @query

@@ -38,6 +38,22 @@ def latest_per_path(df: DataFrame, key: str, version: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
+def source_changes(
+    before: DataFrame, after: DataFrame, key: str = "relative_path", version: tuple[str, ...] = ("modificationTime", "length")
+) -> DataFrame:
+    """``(key, change)`` of two listings with one row per path: what was added, changed or is gone.
+
+    A path whose ``version`` columns are the same in both has no row.
+    """
+    old = before.select(key, F.struct(*version).alias("_old"))
+    new = after.select(key, F.struct(*version).alias("_new"))
+    change = (
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "gone")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    )
+    return old.join(new, key, "full").select(key, change.alias("change")).filter("change is not null")
+
+
 def read_pairs(
     spark: SparkSession, path: str, ref_col: str, cand_col: str, key: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
