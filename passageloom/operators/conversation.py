@@ -16,6 +16,10 @@ from passageloom.operators.joins import spread_join
 from passageloom.operators.ordering import running_total
 
 
+# Turns of a conversation that one window may hold.
+TURN_RANGE = 10_000
+
+
 def _check_n(n: int) -> None:
     if not 1 <= n <= 10:
         raise ValueError("n must be between 1 and 10")
@@ -84,14 +88,21 @@ def format_history(df: DataFrame, key: str = "conv_id") -> DataFrame:
 def pair_turns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each user message with the assistant message directly after it, whatever the gaps in ``turn``.
 
-    ``keep`` names further columns to take from the assistant message.
+    ``keep`` names further columns to take from the assistant message. A conversation is split into
+    ranges of turns, so a window holds a bounded part of it; where a range ends, the message after it
+    is the first of the next range, and only these first messages move once more.
     """
-    numbered = positions(df)
-    asked = numbered.filter(F.col("role") == "user").select("conv_id", "turn", "position", F.col("text").alias("question"))
-    answered = numbered.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("position") - 1).alias("position"), F.col("text").alias("answer"), *keep
+    message = F.struct("turn", "role", "text", *keep)
+    ranged = df.withColumn("_range", F.floor(F.col("turn") / TURN_RANGE))
+    inside = Window.partitionBy("conv_id", "_range").orderBy("turn")
+    followed = ranged.withColumn("_next", F.lead(message).over(inside))
+    firsts = ranged.groupBy("conv_id", "_range").agg(F.min(message).alias("_first"))
+    ranges = Window.partitionBy("conv_id").orderBy("_range")
+    edges = firsts.withColumn("_first", F.lead("_first").over(ranges)).filter("_first is not null")
+    paired = followed.join(edges, ["conv_id", "_range"], "left").withColumn("_next", F.coalesce("_next", "_first"))
+    return paired.filter((F.col("role") == "user") & (F.col("_next.role") == "assistant")).select(
+        "conv_id", "turn", F.col("text").alias("question"), F.col("_next.text").alias("answer"), *(f"_next.{c}" for c in keep)
     )
-    return asked.join(answered, ["conv_id", "position"]).select("conv_id", "turn", "question", "answer", *keep)
 
 
 def route_canned(df: DataFrame, replies: dict[str, str], col: str = "question") -> DataFrame:

@@ -8,6 +8,8 @@ because callers order by a unique key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,18 @@ def _sliced(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return stored.withColumn("_slice", F.shiftright("_pos", _ROW_BITS))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
-    """Consecutive numbers from ``start`` in the order of the unique columns ``order``."""
+def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int | Callable[[int], int] = 1) -> DataFrame:
+    """Consecutive numbers from ``start`` in the order of the unique columns ``order``.
+
+    ``start`` may be a function of the number of rows, which is called once.
+    """
     rows = _sliced(df, order, "numbered")
     sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    if callable(start):
+        # A number per range partition: at most spark.sql.shuffle.partitions.
+        known = sizes.collect()
+        start = start(sum(row["_n"] for row in known))
+        sizes = df.sparkSession.createDataFrame(known, sizes.schema)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition: at most spark.sql.shuffle.partitions rows.
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

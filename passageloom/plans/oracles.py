@@ -310,7 +310,7 @@ WHERE (b.ts, b.event_id) IS DISTINCT FROM (a.ts, a.event_id)""",
     + "SELECT doc_id, chunk_no, relative_path, language, length(chunk)::INTEGER AS chunk_chars FROM chunks",
     "eval_pairs": _with(_PAIRS) + "SELECT * FROM pairs",
     "chunk_table": _with(*_CORPUS) + "SELECT doc_id, chunk_no, relative_path, file_url, chunk, language FROM chunks",
-    "activity_log": _with(_QA) + _log(first="conv_id % 2,"),
+    "activity_log": _with(_QA) + _log(first="((coalesce(conv_id, 0) % 2) + 2) % 2,"),
     "activity_stream": _with(_QA) + _log(),
     "retrieve_filtered": _with(*_CORPUS)
     + f"SELECT chunk, file_url, relative_path FROM chunks WHERE language = {_lit(r.LANGUAGE)} ORDER BY doc_id, chunk_no LIMIT 5",
@@ -378,7 +378,7 @@ FROM last_asked LEFT JOIN contexts USING (query_id) LEFT JOIN histories USING (q
     "open_questions": _with(_OPEN) + "SELECT query_id, conv_id, turn, asked, question, canned FROM opened",
     "draft_answers": _with(*_DRAFTS) + "SELECT * FROM drafts",
     "finish_answers": _with(*_FINISHED) + "SELECT * FROM finished",
-    "answer_log": _with(*_FINISHED) + _log("finished", "conv_id % 2,", "turn"),
+    "answer_log": _with(*_FINISHED) + _log("finished", "((coalesce(conv_id, 0) % 2) + 2) % 2,", "turn"),
     "filtered_context": _with(*_CORPUS)
     + f"""SELECT query_id, context, refs AS "references" FROM (
   SELECT string_agg('Context document ' || rank || ': ' || chunk || ' ' || chr(10) || chr(10), '' ORDER BY rank) AS context,

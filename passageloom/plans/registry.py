@@ -91,10 +91,10 @@ def _timed(messages: DataFrame) -> DataFrame:
 
 
 def _by_parity(pairs: DataFrame) -> list[DataFrame]:
-    """Appends to a log, where the ids of each go on from the one before; every row is in one of them."""
-    # The remainder of a negative odd id is -1, that of a null is null.
-    remainder = F.col("conv_id") % 2
-    return [pairs.filter(remainder.eqNullSafe(F.lit(value))) for value in (-1, 0, 1, None)]
+    """Two appends to a log, where the ids of the second go on from the first's; every row is in one of them."""
+    pairs = materialize(pairs, "pairs")
+    remainder = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(2))
+    return [pairs.filter(remainder == value) for value in (0, 1)]
 
 
 # Sources and sinks
@@ -412,8 +412,7 @@ def finish_answers(spark, d):
 @query
 def answer_log(spark, d):
     path = scratch_path(spark, "answers")
-    done = materialize(_timed(_finished(spark, d)), "finished")
-    for part in _by_parity(done):
+    for part in _by_parity(_timed(_finished(spark, d))):
         files.append_activity(part, path)
     return files.read_activity(spark, path)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passageloom import schemas
 from passageloom.functions.text import LOG_SOURCE_ZONE, LOG_TARGET_ZONE
 from passageloom.operators.activity import activity_rows
-from passageloom.session import materialize
+from passageloom.sources.versions import Versions
 
 
 def list_sources(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -74,60 +76,92 @@ def read_pairs(
     return sheet.select(*(F.col(f"`{c}`").cast("string").alias(name) for name, c in wanted.items() if c is not None))
 
 
-def write_chunks(df: DataFrame, path: str | None = None, table: str | None = None) -> None:
-    """Create or replace the chunk table, stored by language so filters on it skip files."""
-    writer = df.write.mode("overwrite").format("parquet").partitionBy("language")
+def write_chunks(df: DataFrame, path: str | None = None, table: str | None = None, keep: int = 2) -> None:
+    """Create or replace the chunk table, stored by language so filters on it skip files.
+
+    At a ``path``, the new rows are written beside the old ones and become the table in one step. A
+    reader that opened an older version goes on reading it; the last ``keep`` stay.
+    """
+    writer = df.write.format("parquet").partitionBy("language")
     if table:
-        writer.saveAsTable(table)
+        writer.mode("overwrite").saveAsTable(table)
     elif path:
-        writer.save(path)
+        spark, folder = df.sparkSession, f"version-{uuid.uuid4().hex}"
+        writer.save(f"{path}/{folder}")
+        versions = Versions(spark, path)
+        versions.update({}, lambda _: {"folder": folder})
+        held = {versions.read(n)["folder"] for n in versions.numbers()[-keep:]}
+        replaced = {versions.read(n)["folder"] for n in versions.numbers()} - held
+        for old in replaced:
+            _delete(spark, f"{path}/{old}")
     else:
         raise ValueError("give a path or a table")
 
 
 def read_chunks(spark: SparkSession, path: str | None = None, table: str | None = None) -> DataFrame:
-    """Full scan of the chunk table."""
+    """Full scan of the chunk table, as it is now."""
     if table:
         return spark.table(table)
-    return spark.read.schema(schemas.CHUNKS).parquet(path)
+    _, state = Versions(spark, path).current({})
+    if not state:
+        raise ValueError(f"no chunk table at {path}")
+    return spark.read.schema(schemas.CHUNKS).parquet(f"{path}/{state['folder']}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
 
-def next_id(spark: SparkSession, path: str, before: int | None = None) -> int:
-    """The id after the largest of the log at ``path``, from one stored row per append, not from the log.
 
-    ``before`` leaves out appends with that number or a later one, so that a retry takes the same ids.
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def reserve_ids(spark: SparkSession, path: str, count: int, stream: str | None = None, batch: int = 0) -> int:
+    """The first of ``count`` ids of the log at ``path`` that nobody else gets, larger than all before.
+
+    Any number of writers may ask at once. The newest batch of a ``stream`` that asks again gets the same ids.
     """
-    if not _exists(spark, f"{path}.ids"):
-        return 1
-    tops = spark.read.schema("top long, append long").parquet(f"{path}.ids")
-    if before is not None:
-        tops = tops.filter(F.col("append") < before)
-    return (tops.agg(F.max("top")).first()[0] or 0) + 1
+    start = 0
 
+    def taken(state: dict) -> dict:
+        nonlocal start
+        known = state["streams"].get(stream)
+        if known and known[0] == batch:
+            start = known[1]
+            return state
+        start = state["next"]
+        streams = {**state["streams"], stream: [batch, start]} if stream else state["streams"]
+        return {"next": start + count, "streams": streams}
 
-def store_top(rows: DataFrame, path: str, start: int, append: int) -> None:
-    """Remember the largest id of an append of ``rows`` whose ids begin at ``start``."""
-    top = rows.agg((F.coalesce(F.max("id"), F.lit(start - 1))).alias("top"))
-    top.write.mode("overwrite").parquet(f"{path}.ids/append={append}")
+    Versions(spark, f"{path}.ids").update({"next": 1, "streams": {}}, taken)
+    return start
 
 
 def append_activity(pairs: DataFrame, path: str, src: str = LOG_SOURCE_ZONE, dst: str = LOG_TARGET_ZONE) -> None:
     """Append ``(conv_id, turn, question, answer, ts)`` to the activity log, with ids that go on from its last.
 
-    Existing rows are never replaced. One writer at a time.
+    Existing rows are never replaced. Writers may append at the same time: each has ids and a folder of its own.
     """
-    spark = pairs.sparkSession
-    start = next_id(spark, path)
-    rows = materialize(activity_rows(pairs, src, dst, start), "activity")
-    rows.select(*schemas.ACTIVITY.fieldNames()).write.mode("append").parquet(path)
-    store_top(rows, path, start, start)
+    spark, starts = pairs.sparkSession, []
+
+    def start(count: int) -> int:
+        starts.append(reserve_ids(spark, path, count) if count else 0)
+        return starts[0]
+
+    rows = activity_rows(pairs, src, dst, start).select(*schemas.ACTIVITY.fieldNames())
+    if starts[0]:
+        rows.write.parquet(f"{path}/batch={-starts[0]}")
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Full scan of the activity log."""
-    return spark.read.schema(schemas.ACTIVITY).parquet(path)
+    """Full scan of the activity log; empty before the first append."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schemas.ACTIVITY)
+    return spark.read.schema(schemas.ACTIVITY).parquet(path).select(*schemas.ACTIVITY.fieldNames())

@@ -28,7 +28,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from passageloom import schemas
 from passageloom.functions.text import LOG_SOURCE_ZONE, LOG_TARGET_ZONE
 from passageloom.operators.activity import activity_rows
-from passageloom.sources.files import next_id, store_top
+from passageloom.sources.files import reserve_ids
 
 _LOG = T.StructType([*schemas.ACTIVITY.fields, T.StructField("batch", T.LongType(), True)])
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,7 +128,7 @@ def stream_pairs(messages: DataFrame, wait: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The activity log with the number of the batch that wrote each row."""
+    """The activity log with the number of the batch that wrote each row; appends beside the stream have negative ones."""
     return spark.read.schema(_LOG).parquet(path)
 
 
@@ -156,11 +156,11 @@ def activity_stream(
     """Start logging to ``path``: every ``every``, or everything available if None."""
 
     def log(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # Of earlier batches only: a retried batch takes the same numbers again.
-        start = next_id(spark, path, number)
+        # A retried batch takes the same numbers again and overwrites itself.
+        def start(count: int) -> int:
+            return reserve_ids(batch.sparkSession, path, count, checkpoint, number)
+
         activity_rows(batch, src, dst, start).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        store_top(spark.read.schema(schemas.ACTIVITY).parquet(f"{path}/batch={number}"), path, start, number)
 
     writer = stream_pairs(messages, wait).writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,15 @@ def test_history_holds_the_limited_question(spark):
     messages = spark.createDataFrame([(1, 0, "user", long)], schemas.MESSAGES)
     row = answers.draft_answers(messages, index_chunks(chunks), chunks).first()
     assert len(row.asked.split()) == 100 and "w99" in row.prompt and "w100" not in row.prompt
+
+
+def test_pairs_across_ranges_of_turns(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant"]), f"{c}.{t}") for c in range(5) for t in sorted(rng.sample(range(-40, 400), 90))]
+    want = set()
+    for (c, t, role, text), (c2, _, role2, text2) in zip(rows, rows[1:]):
+        if c == c2 and (role, role2) == ("user", "assistant"):
+            want.add((c, t, text, text2))
+    monkeypatch.setattr(conv, "TURN_RANGE", 7)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    assert {tuple(r) for r in conv.pair_turns(frame).collect()} == want

@@ -1,6 +1,8 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from passageloom import schemas
 from passageloom.operators.corpus import project, with_language
@@ -66,6 +68,49 @@ def test_log_only_grows(spark, tmp_path):
     assert [(r.id, r.question) for r in log] == [(1, "q1.0"), (2, "q2.0"), (3, "q2.1")]
 
 
+def test_two_writers_at_once(spark, tmp_path):
+    path, pairs = str(tmp_path / "log"), "conv_id long, turn long, question string, answer string, ts timestamp_ntz"
+
+    def append(writer):
+        for _ in range(3):
+            rows = [(writer, t, f"{writer}.{t}", "a", dt.datetime(2024, 1, 1, 12, t)) for t in range(writer + 2)]
+            files.append_activity(spark.createDataFrame(rows, pairs), path)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(append, (0, 1)))
+    rows = files.read_activity(spark, path).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 16))
+    # Every append is a run of ids, in the order of its times.
+    text = " ".join(r.question for r in rows)
+    assert text.count("0.0 0.1") == 3 and text.count("1.0 1.1 1.2") == 3
+
+
+def test_a_batch_gets_its_ids_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert files.reserve_ids(spark, path, 5, "s", 0) == 1
+    assert files.reserve_ids(spark, path, 2) == 6
+    assert files.reserve_ids(spark, path, 5, "s", 0) == 1
+    assert files.reserve_ids(spark, path, 1, "s", 1) == 8
+    assert files.read_activity(spark, path).count() == 0
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    files.write_chunks(spark.createDataFrame(chunk_rows("es", "en"), schemas.CHUNKS), path=path)
+    opened = files.read_chunks(spark, path=path)
+    files.write_chunks(spark.createDataFrame(chunk_rows("fr"), schemas.CHUNKS), path=path)
+    assert {r.language for r in opened.collect()} == {"es", "en"}
+    assert {r.language for r in files.read_chunks(spark, path=path).collect()} == {"fr"}
+    with pytest.raises(Exception, match="broken"):  # a version that can't be written never becomes the table
+        bad = spark.createDataFrame(chunk_rows("de"), schemas.CHUNKS).withColumn("chunk", F.raise_error(F.lit("broken")).cast("string"))
+        files.write_chunks(bad, path=path)
+    assert {r.language for r in files.read_chunks(spark, path=path).collect()} == {"fr"}
+    files.write_chunks(spark.createDataFrame(chunk_rows("it"), schemas.CHUNKS), path=path)
+    assert len(list((tmp_path / "chunks").glob("version-*"))) == 3  # two versions and the broken one
+    with pytest.raises(ValueError):
+        files.read_chunks(spark, path=str(tmp_path / "none"))
+
+
 def test_projection_and_language(spark):
     df = spark.createDataFrame([(1, "a")], "id int, lang string")
     assert project(df).columns == ["id", "lang"] and project(df, ["lang"]).columns == ["lang"]
