@@ -39,6 +39,11 @@ MISSING = "Answer not available."
 FAILED = "The answer could not be generated."
 
 
+def _check_model(model: str) -> None:
+    if model not in MODELS:
+        raise ValueError(f"unknown model: {model}")
+
+
 def limited(messages: DataFrame, words: int = QUESTION_WORDS) -> DataFrame:
     """Messages as the conversation keeps them: user texts are cut to ``words`` before they are stored."""
     text = F.when(F.col("role") == "user", limit_words(F.col("text"), words)).otherwise(F.col("text"))
@@ -51,7 +56,11 @@ def open_questions(numbered: DataFrame) -> DataFrame:
     ``numbered`` has limited texts and positions. ``question`` has no quotes;
     ``canned`` is the fixed reply of a known phrase, else null.
     """
-    asked = unanswered(user_questions(numbered), numbered).withColumnRenamed("text", "asked")
+    return routed(unanswered(user_questions(numbered), numbered).withColumnRenamed("text", "asked"))
+
+
+def routed(asked: DataFrame) -> DataFrame:
+    """``asked`` with ``question``, its text without quotes, and ``canned``, the fixed reply of a known phrase or null."""
     return route_canned(asked.withColumn("question", strip_quotes(F.col("asked"))), CANNED, "asked")
 
 
@@ -74,21 +83,36 @@ def draft_answers(
     replies to ``expansion_prompt``; ``hits`` (``query_id, rank, chunk,
     relative_path``) replaces the ranked search, for example by filtered rows.
     """
-    if model not in MODELS:
-        raise ValueError(f"unknown model: {model}")
+    _check_model(model)
     numbered = materialize(positions(limited(messages)), "messages")
     questions = materialize(open_questions(numbered), "questions")
     searched = questions.filter(F.col("canned").isNull())
     if hits is None:
-        texts = searched.select("query_id", F.col("question").alias("text"))
-        if expanded is not None:
-            wider = expanded.select("query_id", F.col("text").alias("_wider"))
-            texts = texts.join(wider, "query_id", "left").select("query_id", F.coalesce("_wider", "text").alias("text"))
-        hits = hit_chunks(search_topk(index, texts, k, filter), chunks)
-    found = context_and_references(hits)
+        hits = search_hits(searched, index, chunks, k, filter, expanded)
     histories = None
     if history is not None:
         histories = format_history(history_before(searched, numbered, history), "query_id")
+    return drafts_of(questions, hits, histories, model, temperature)
+
+
+def search_hits(
+    searched: DataFrame, index: Index, chunks: DataFrame, k: int = HITS, filter: dict | None = None, expanded: DataFrame | None = None
+) -> DataFrame:
+    """The chunks that answer the prompts of ``searched`` (``query_id, question``); ``expanded`` as in ``draft_answers``."""
+    texts = searched.select("query_id", F.col("question").alias("text"))
+    if expanded is not None:
+        wider = expanded.select("query_id", F.col("text").alias("_wider"))
+        texts = texts.join(wider, "query_id", "left").select("query_id", F.coalesce("_wider", "text").alias("text"))
+    return hit_chunks(search_topk(index, texts, k, filter), chunks)
+
+
+def drafts_of(
+    questions: DataFrame, hits: DataFrame, histories: DataFrame | None, model: str = MODELS[0], temperature: float = TEMPERATURE
+) -> DataFrame:
+    """The rows of ``draft_answers`` for ``questions``, their ``hits`` and, if wanted, ``histories`` (``query_id, history``)."""
+    _check_model(model)
+    searched = questions.filter(F.col("canned").isNull())
+    found = context_and_references(hits)
     carried = ["conv_id", "turn", "asked", "canned", "references"]
     prompts = request_rows(answer_prompt(searched, found, histories, carried), model, temperature)
     prompts = prompts.withColumn("references", F.coalesce("references", F.lit("")))

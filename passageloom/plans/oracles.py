@@ -377,6 +377,7 @@ FROM last_asked LEFT JOIN histories USING (query_id)""",
 FROM last_asked LEFT JOIN contexts USING (query_id) LEFT JOIN histories USING (query_id)""",
     "open_questions": _with(_OPEN) + "SELECT query_id, conv_id, turn, asked, question, canned FROM opened",
     "draft_answers": _with(*_DRAFTS) + "SELECT * FROM drafts",
+    "live_drafts": _with(*(part.replace(" AND next_role IS DISTINCT FROM 'assistant'", "") for part in _DRAFTS)) + "SELECT * FROM drafts",
     "finish_answers": _with(*_FINISHED) + "SELECT * FROM finished",
     "answer_log": _with(*_FINISHED) + _log("finished", "((coalesce(conv_id, 0) % 2) + 2) % 2,", "turn"),
     "filtered_context": _with(*_CORPUS)

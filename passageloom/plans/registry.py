@@ -22,6 +22,7 @@ from passageloom.plans.corpus import chunk_table, paged_chunk_table, staged_file
 from passageloom.session import materialize, scratch_path
 from passageloom.sources import files
 from passageloom.streaming.activity_stream import activity_stream, read_log
+from passageloom.streaming import live_drafts as live
 from passageloom.streaming.index_refresh import IndexStore, refresh_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +389,18 @@ def draft_answers(spark, d):
     return _drafts(spark, d)
 
 
+@query
+def live_drafts(spark, d):
+    """Every user message drafted as it arrives, in an index that was merged before."""
+    path = scratch_path(spark, "live")
+    store = IndexStore(f"{path}-store")
+    store.add(_documents(spark, d), 0, ["n_chars"])
+    store.merge(spark)
+    stream = spark.readStream.schema(schemas.MESSAGES).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    live.live_drafts(stream, store, f"{path}-drafts", f"{path}-checkpoint").awaitTermination()
+    return live.read_drafts(spark, f"{path}-drafts").drop("batch")
+
+
 def _finished(spark, d) -> DataFrame:
     """Replies by conversation: the first assistant message, broken text, none, and an empty answer, in turn."""
     drafts = _drafts(spark, d)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +28,9 @@ from passageloom import schemas
 from passageloom.functions.text import LOG_SOURCE_ZONE, LOG_TARGET_ZONE
 from passageloom.operators.activity import activity_rows
 from passageloom.sources.files import reserve_ids
+from passageloom.streaming.state import state_store
 
 _LOG = T.StructType([*schemas.ACTIVITY.fields, T.StructField("batch", T.LongType(), True)])
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = dt.datetime(1970, 1, 1)
 
 PAIRS = "conv_id long, turn long, question string, answer string, ts timestamp_ntz"
@@ -132,18 +131,6 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_LOG).parquet(path)
 
 
-@contextmanager
-def _state_store(spark: SparkSession) -> Iterator[None]:
-    """Keyed state with timers needs this store; a query keeps the settings it was started with."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def activity_stream(
     messages: DataFrame,
     path: str,
@@ -164,5 +151,5 @@ def activity_stream(
 
     writer = stream_pairs(messages, wait).writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    with _state_store(messages.sparkSession):
+    with state_store(messages.sparkSession):
         return writer.start()
