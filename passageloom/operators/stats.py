@@ -20,14 +20,24 @@ def describe_scores(df: DataFrame, cols: list[str], by: list[str] | tuple[str, .
     the shuffle, then ranked by a running total over range partitions, so a
     group of any size is spread over all tasks. NULL and NaN are left out.
     """
-    by = list(by)
+    return describe_counts(value_counts(df, cols, by), by)
+
+
+def value_counts(df: DataFrame, cols: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``(by, metric, v, n)``: how often each value of each column occurs in each group.
+
+    A NULL value has count 0: it keeps its group. Counts of parts of a table add up to those of the table.
+    """
     melted = df.select(
         *by,
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])).alias("e"),
     ).select(*by, "e.metric", F.nanvl("e.v", F.lit(None)).alias("v"))
+    return melted.groupBy(*by, "metric", "v").agg(F.count("v").alias("n"))
+
+
+def describe_counts(counted: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``describe_scores`` from value counts."""
     keys = [*by, "metric"]
-    # A NULL value has weight 0: it keeps its group without being counted.
-    counted = melted.groupBy(*keys, "v").agg(F.count("v").alias("n"))
     ranked = running_total(counted, keys, ["v"], "n", "before")
     totals = ranked.groupBy(*keys).agg(
         F.sum("n").alias("total"),

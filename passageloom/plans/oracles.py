@@ -422,4 +422,6 @@ FROM documents GROUP BY ROLLUP (lang, source)""",
     + "SELECT token, stem FROM stems",
     "score_summary": _with(*_SCORES, _ALL_SCORES)
     + " UNION ALL ".join(_describe_score(name) for name in ("bleu", "rouge1", "rouge2", "rouge_l")),
+    "score_growth": _with(*_SCORES, _ALL_SCORES)
+    + " UNION ALL ".join(_describe_score(name) for name in ("bleu", "rouge1", "rouge2", "rouge_l")),
 }

@@ -21,6 +21,7 @@ from passageloom.plans import answers, evaluation
 from passageloom.plans.corpus import chunk_table, paged_chunk_table, staged_files
 from passageloom.session import materialize, scratch_path
 from passageloom.sources import files
+from passageloom.sources.score_store import ScoreStore
 from passageloom.streaming.activity_stream import activity_stream, read_log
 from passageloom.streaming import live_drafts as live
 from passageloom.streaming.index_refresh import IndexStore, refresh_index
@@ -501,6 +502,10 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
 
+def _pairs_with_conversation(spark, d) -> DataFrame:
+    return _pairs(spark, d).withColumn("conv_id", F.substring_index("pair_id", "/", 1).cast("long"))
+
+
 def _pairs(spark, d) -> DataFrame:
     return evaluation.message_pairs(_messages(spark, d))
 
@@ -554,6 +559,15 @@ def score_summary(spark, d):
     return _rounded(rows, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+@query
+def score_growth(spark, d):
+    """The score summary from the value counts of two appends."""
+    store = ScoreStore(scratch_path(spark, "scores"), tuple(evaluation.SCORES))
+    for number, part in enumerate(_by_parity(_pairs_with_conversation(spark, d))):
+        store.append(scoring.score_pairs(part, "unicode", stemmed=False), number)
+    return _rounded(store.describe(spark), "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Prompt, references and model request, or the fixed reply, of every open question."""
     chunks = materialize(_chunks(spark, d), "chunks")
