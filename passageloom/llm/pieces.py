@@ -252,6 +252,36 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+    def decode_any(self, ids: Iterator[int | None]) -> str:
+        """``decode`` for ids that needn't be a text's: U+FFFD for bytes that are no UTF-8 and for ids that are
+        null or beyond the model, nothing for ids that are no piece of a text (control, unknown)."""
+        out, pending = [], bytearray()
+        own = self.ids
+
+        def bytes_so_far() -> None:
+            nonlocal pending
+            try:
+                text = pending.decode("utf-8", "surrogatepass")
+            except UnicodeDecodeError:
+                text = pending.decode("utf-8", "replace")
+            out.append(text.replace(SPACE, _LITERAL))
+            pending = bytearray()
+
+        for i in ids:
+            value = self.byte_of.get(i)
+            if value is not None:
+                pending.append(value)
+                continue
+            bytes_so_far()
+            if i is None or not 0 <= i < len(self.pieces):
+                out.append("\ufffd")
+            elif self.pieces[i] in own:
+                out.append(self.pieces[i])
+        bytes_so_far()
+        text = "".join(out).replace(SPACE, " ").replace(_LITERAL, SPACE)
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+
 @lru_cache(maxsize=2)
 def loaded(data: bytes) -> Model:
     """One model per worker process, so that its memos outlive a task."""
@@ -296,14 +326,19 @@ def memory(ids: array):
 
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` from ids; null ids decode to an empty text. No shuffle."""
+    """``doc_id, text`` from ids, whether or not they come from ``encode``. No shuffle.
+
+    A null array decodes to an empty text; ids that are null or beyond the model, and bytes that are no
+    UTF-8, to U+FFFD; control ids to nothing. Null document ids and repeated rows stay; an empty table gives
+    no rows; other columns are not read.
+    """
     with open(model, "rb") as file:
         data = encoded.sparkSession.sparkContext.broadcast(file.read())
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(data.value)
-        rows = ((doc, tokenizer.decode(ids or [])) for doc, ids in rows_of(batches, "doc_id", "ids"))
+        rows = ((doc, tokenizer.decode_any(ids or [])) for doc, ids in rows_of(batches, "doc_id", "ids"))
         yield from batched(rows, schema, 200)
 
     chosen = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))

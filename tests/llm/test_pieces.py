@@ -70,3 +70,18 @@ def test_tables(docs, rows, nothing):
     decoded = pieces.decode(pieces.encode(docs)).collect()
     assert sorted(((r.doc_id, r.text) for r in decoded), key=str) == sorted(((r[0], r[1] or "") for r in rows), key=str)
     assert pieces.encode(nothing).collect() == []
+
+
+def test_ids_that_are_no_text(spark, model):
+    for text in [*samples(), "▁", "a▁▁ b", " ▁x"]:
+        assert model.decode_any(model.encode(text)) == text
+    n, word = len(model.pieces), list(model.encode("word"))
+    lead = next(i for i, value in model.byte_of.items() if value == 0xE2)
+    control = [i for i, p in enumerate(model.pieces) if p in ("<s>", "</s>", "<unk>")]
+    assert control and model.decode_any([*control, *word, *control]) == "word"
+    assert model.decode_any([*word, lead]) == "word�" and model.decode_any([*word, n, -1, None]) == "word���"
+    rows = [(1, [*word, None]), (1, [*word, None]), (None, [n + 5]), (3, None), (4, []), (5, [lead, lead])]
+    frame = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = sorted(((r.doc_id, r.text) for r in pieces.decode(frame).collect()), key=str)
+    assert got == sorted([(1, "word�"), (1, "word�"), (None, "�"), (3, ""), (4, ""), (5, "��")], key=str)
+    assert pieces.decode(frame.limit(0)).collect() == []
