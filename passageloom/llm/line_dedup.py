@@ -15,15 +15,13 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageloom.llm.common import WHITE
-from passageloom.llm.parts import numbered
+from passageloom.llm.parts import numbered, part_buckets, placed_by_part
 from passageloom.session import materialize, scratch_path
 from passageloom.sources.versions import Versions
 
@@ -42,18 +40,6 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(lowered, "\n", -1), lambda line: F.btrim(line, F.lit(WHITE)))
 
 
-@contextmanager
-def _placed_by_part(spark: SparkSession) -> Iterator[None]:
-    """Lets a join on ``(part, pos)`` use rows that are placed by ``part`` alone."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class LineRuns:
     """The store at ``path``: a folder per run and numbered versions of the list of runs.
 
@@ -166,17 +152,13 @@ class LineRuns:
             "part", F.shiftright("place", _PLACE_BITS).alias("pos"),
             F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int").alias("line"),
         )
-        with _placed_by_part(self.spark):
+        with placed_by_part(self.spark):
             result = materialize(_rebuilt(rows, dropped, with_text), "kept")
         self._publish([*self.levels, (folder, 0)])
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         return result
 
 
-def _text_buckets(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _id(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
 
@@ -191,14 +173,14 @@ def store_lines(docs: DataFrame, id_col: str, text_col: str, batch: Column | Non
     name = f"llm_lined_{uuid.uuid4().hex}"
     (
         numbered(texts).write.format("parquet").option("path", scratch_path(spark, "lined"))
-        .option("compression", "zstd").partitionBy("batch").bucketBy(_text_buckets(spark), "part").saveAsTable(name)
+        .option("compression", "zstd").partitionBy("batch").bucketBy(part_buckets(spark), "part").saveAsTable(name)
     )
     return spark.table(name)
 
 
 def _rebuilt(rows: DataFrame, dropped: DataFrame, with_text: bool) -> DataFrame:
     """The documents of ``rows`` without their ``dropped`` lines; only line numbers move."""
-    lost = dropped.repartition(_text_buckets(rows.sparkSession), "part").groupBy("part", "pos").agg(F.collect_list("line").alias("lost"))
+    lost = dropped.repartition(part_buckets(rows.sparkSession), "part").groupBy("part", "pos").agg(F.collect_list("line").alias("lost"))
     split = rows.join(lost, ["part", "pos"], "left").withColumn("lines", F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     lines = F.col("lines")

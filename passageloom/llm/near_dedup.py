@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from passageloom.llm.common import batched, rows_of, texts
 from passageloom.llm.components import components
 from passageloom.llm.exchange import pack, unpack
-from passageloom.llm.parts import bring_digits, numbered, store_documents, store_parts, unpack_documents
+from passageloom.llm.parts import bring_digits, numbered, part_buckets, placed_by_part, store_documents, store_parts, unpack_documents
 from passageloom.llm.words import hash_words, mix, ngrams
 from passageloom.operators.joins import spread_join
 from passageloom.session import materialize
@@ -192,19 +191,26 @@ def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return stars
 
 
-def _links(members: DataFrame, settings: Settings) -> DataFrame:
+def _blocks(met: DataFrame, settings: Settings) -> DataFrame:
+    """``node, part, pos, component, block, blocks`` of candidates: a group's nodes dealt into blocks of about ``tile``."""
+    sizes = met.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("blocks", F.floor(F.col("size") / settings.tile).cast("int") + 1).drop("size")
+    return spread_join(met, sizes, ["component"], ["node"]).select(
+        "node",
+        F.shiftright("node", 33).cast("int").alias("part"),
+        F.col("node").bitwiseAND((1 << 33) - 1).alias("pos"),
+        "component",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+        "blocks",
+    )
+
+
+def _links(placed: DataFrame, settings: Settings) -> DataFrame:
     """``u, v``: links inside groups of candidates, compared tile by tile.
 
-    A group is dealt into blocks of about ``tile`` sets, and every pair of blocks
-    is a tile, so a tile's memory doesn't grow with its group. A tile gives one
-    link per node at most, never all its pairs.
+    Every pair of a group's blocks is a tile, so a tile's memory doesn't grow with its group, and sets
+    move once, to their tiles. A tile gives one link per node at most, never all its pairs.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.floor(F.col("size") / settings.tile).cast("int") + 1
-    sizes = sizes.withColumn("blocks", blocks).drop("size")
-    placed = spread_join(members, sizes, ["component"], ["node"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiled = placed.withColumn("other", other).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "codes"
@@ -288,14 +294,15 @@ def _grouped(rows: DataFrame, settings: Settings) -> DataFrame:
         ),
         "classes",
     )
-    met = components(_meetings(_keys(classes, settings)))
-    met = materialize(met, "met")
-
-    places = met.select(F.shiftright("node", 33).cast("int").alias("part"), F.col("node").bitwiseAND((1 << 33) - 1).alias("pos"))
-    flags = _place_flags(places)
-    flag = F.substring("flags", F.col("pos").cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    sets = filled.join(flags, "part").filter(flag).select("node", "codes")
-    links = materialize(_links(sets.join(met, "node"), settings), "links")
+    meetings = materialize(_meetings(_keys(classes, settings)), "meetings")
+    met = materialize(components(meetings), "met")
+
+    placed = materialize(_blocks(met, settings), "placed")
+    # The sets stay in their parts and the places come to them.
+    buckets = part_buckets(described.sparkSession)
+    with placed_by_part(described.sparkSession):
+        sets = filled.select("part", "pos", "codes").join(placed.repartition(buckets, "part").hint("shuffle_hash"), ["part", "pos"])
+        links = materialize(_links(sets, settings), "links")
     linked = materialize(components(links).join(classes.select("node", "same", "least_id"), "node"), "linked")
     ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     joined = spread_join(linked, ids, ["component"], ["node"]).select("same", "component_id")
@@ -309,13 +316,3 @@ def _grouped(rows: DataFrame, settings: Settings) -> DataFrame:
     inside = inside.withColumn("component_id", own)
     outside = described.filter("n_shingles = 0").select(*columns, F.col("doc_id").alias("component_id"))
     return inside.select(*columns, "component_id").unionByName(outside)
-
-
-def _place_flags(places: DataFrame) -> DataFrame:
-    """``part, flags``: one byte per place of a part, up to its last listed place."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(int(pdf["pos"].max()) + 1, np.uint8)
-        out[pdf["pos"]] = 1
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "flags": [out.tobytes()]})
-
-    return places.groupBy("part").applyInPandas(run, "part int, flags binary")

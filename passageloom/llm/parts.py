@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageloom.session import scratch_path
@@ -18,6 +20,23 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumns({"part": F.spark_partition_id(), "pos": row})
 
 
+def part_buckets(spark: SparkSession) -> int:
+    """Over how many buckets stored parts are dealt."""
+    return min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+
+
+@contextmanager
+def placed_by_part(spark: SparkSession) -> Iterator[None]:
+    """Lets a join on ``(part, pos)`` that is planned here use rows that are placed by ``part`` alone."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store_parts(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder, bucketed by its column ``part``, and read it back.
 
@@ -26,11 +45,10 @@ def store_parts(df: DataFrame, name: str) -> DataFrame:
     a text never crosses the network to meet a few bytes about it.
     """
     spark = df.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"llm_{name}_{uuid.uuid4().hex}"
     (
         df.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
-        .bucketBy(min(buckets, 100_000), "part").saveAsTable(table)
+        .bucketBy(part_buckets(spark), "part").saveAsTable(table)
     )
     return spark.table(table)
 

@@ -68,7 +68,7 @@ def test_runs_are_not_shuffled_again(spark, tmp_path, plan):
     assert "Exchange" not in plan(a.join(b.hint("merge"), "h", "left_anti"))
     rows = line_dedup.store_lines(frame(spark, some_rows(3, range(9))), "doc_id", "text")
     dropped = spark.createDataFrame([(0, 0, 1)], "part int, pos long, line int")
-    with line_dedup._placed_by_part(spark):
+    with line_dedup.placed_by_part(spark):
         text = plan(line_dedup._rebuilt(rows, dropped, False))
     # The only exchange is that of the line numbers; texts are split once.
     assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
