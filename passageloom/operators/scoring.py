@@ -28,6 +28,14 @@ def _grams(toks: list[str], n: int) -> Counter:
     return Counter(zip(*(toks[i:] for i in range(n))))
 
 
+def _matches(left: list[str], right: list[str], n: int) -> int:
+    """How many n-grams of ``left`` find one of their own in ``right``."""
+    if min(len(left), len(right)) < n:
+        return 0
+    counts = _grams(right, n)
+    return sum(min(k, counts[gram]) for gram, k in _grams(left, n).items() if gram in counts)
+
+
 _GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("n_grams", T.LongType())])
 
 
@@ -61,8 +69,8 @@ def _overlap(orders: dict[str, tuple[int, ...]], subsequence: bool, stemmed: boo
                 row = []
                 for name, ns in orders.items():
                     for n in ns:
-                        c, r = (_grams(side, n) for side in sides[name])
-                        row += [sum((c & r).values()), c.total(), r.total()]
+                        c, r = sides[name]
+                        row += [_matches(c, r, n), max(len(c) - n + 1, 0), max(len(r) - n + 1, 0)]
                 rows.append([*row, common_subsequence(*sides["r"])] if subsequence else row)
             yield pd.DataFrame(rows, columns=names, dtype="int64")
 
