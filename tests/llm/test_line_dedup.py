@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from passageloom.llm import line_dedup
 from passageloom.llm.line_dedup import LineRuns
@@ -115,3 +116,11 @@ def test_whole_table(spark, batches):
     rows = some_rows(9, range(60))
     got = line_dedup.drop_repeated_lines(frame(spark, rows), batches=batches).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)[0]
+
+
+def test_awkward_rows_and_clashing_columns(spark, docs, rows):
+    least = -(1 << 63)
+    clashing = docs.withColumns({c: F.lit("x") for c in ("batch", "d", "h", "lines", "lost", "pos", "n_lines")})
+    got = [(least if r.doc_id is None else r.doc_id, *r[1:]) for r in line_dedup.drop_repeated_lines(clashing).collect()]
+    assert sorted(got) == brute([(least if r[0] is None else r[0], r[1]) for r in rows])[0]
+    assert line_dedup.drop_repeated_lines(clashing.limit(0)).collect() == []
