@@ -37,17 +37,29 @@ def _matches(left: list[str], right: list[str], n: int) -> int:
 
 
 _GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("n_grams", T.LongType())])
+_TEXTS = 100  # texts whose n-grams are in memory at once
+
+
+def count_texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The n-grams of token texts and how often each occurs, some texts at a time: a batch has many."""
+    for texts, orders in batches:
+        for i in range(0, len(texts), _TEXTS):
+            some = zip(texts.iloc[i : i + _TEXTS], orders.iloc[i : i + _TEXTS])
+            found = (_grams(text.split(" ") if text else [], n) for text, n in some)
+            rows = [[{"gram": " ".join(g), "n_grams": c} for g, c in grams.items()] for grams in found]
+            yield pd.Series(rows, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(_GRAM))
-def _counted(toks: pd.Series, n: pd.Series) -> pd.Series:
-    found = (_grams(list(t), k) for t, k in zip(toks, n))
-    return pd.Series([[{"gram": " ".join(g), "n_grams": c} for g, c in grams.items()] for grams in found], dtype=object)
+def _counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from count_texts(batches)
 
 
 def ngram_counts(df: DataFrame, n: int, key: str = "pair_id", text: str = "text", tokenizer: str = "unicode") -> DataFrame:
     """``(key, gram, n_grams)``: how often each n-gram occurs in each text, text by text."""
-    return df.select(key, F.inline(_counted(tokens(F.col(text), tokenizer), F.lit(n))))
+    # No token holds a space, so the tokens travel as one text.
+    joined = F.array_join(tokens(F.col(text), tokenizer), " ")
+    return df.select(key, F.inline(_counted(joined, F.lit(n))))
 
 
 def _overlap(orders: dict[str, tuple[int, ...]], subsequence: bool, stemmed: bool):

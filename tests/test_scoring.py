@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from passageloom.functions.stemming import porter_stem
 from passageloom.functions.words import common_subsequence
 from passageloom.operators.scoring import (
+    count_texts,
     ngram_counts,
     score_bleu,
     score_pairs,
@@ -165,3 +166,11 @@ def test_sums_and_preview(spark):
 def test_summary(spark):
     rows = {r.metric: r for r in evaluate(spark.createDataFrame(pairs(), PAIR)).collect()}
     assert set(rows) == set(SCORES) and all(r["count"] == len(pairs()) for r in rows.values())
+
+
+def test_ngrams_of_few_texts_are_held_at_once():
+    batch = pd.Series(["to be or to be", "", "x"] * 200), pd.Series([2] * 600)
+    parts = list(count_texts(iter([batch])))
+    assert max(map(len, parts)) <= 100
+    want = [{"gram": "to be", "n_grams": 2}, {"gram": "be or", "n_grams": 1}, {"gram": "or to", "n_grams": 1}]
+    assert pd.concat(parts).tolist() == [want, [], []] * 200
