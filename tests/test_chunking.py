@@ -1,10 +1,11 @@
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passageloom.functions.words import word_chunks
-from passageloom.operators.chunking import chunk_chars, chunk_words, register_chunk_words
+from passageloom.operators.chunking import chunk_chars, chunk_words, register_chunk_words, split_texts
 
 TEXTS = [
     "",
@@ -87,3 +88,14 @@ def test_no_shuffle(spark, plan):
     df = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     assert "Exchange" not in plan(chunk_words(df))
     assert "Exchange" not in plan(chunk_chars(df)) and "Python" not in plan(chunk_chars(df))
+
+
+def test_few_texts_are_split_at_once():
+    parts = list(split_texts(iter([pd.Series(["a b c", None, ""] * 500), pd.Series([], dtype=object)]), 10, 2))
+    assert max(map(len, parts)) <= 100 and pd.concat(parts).tolist() == [["a b c"], None, []] * 500
+
+
+def test_batches_of_many_texts(spark):
+    rows = spark.range(0, 2500, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("w x "), F.col("id"))).alias("text"))
+    got = {r.id: r.chunk for r in chunk_words(rows, size=2000, overlap=300).collect()}
+    assert got == {i: f"w x {i}" for i in range(2500) if i % 7}
