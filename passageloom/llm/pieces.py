@@ -13,11 +13,11 @@ two pieces again, which leaves one path to every position.
 
 from __future__ import annotations
 
-import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +67,8 @@ class Model:
         self.longest = max(map(len, self.ids))
         self.chars = {c for p in self.ids for c in p}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)} | self.chars
+        # Whether a prefix of a piece is one itself.
+        self.wholes = {p: p in self.scores for p in self.prefixes}
         self.unknown = min(self.scores.values()) - _UNKNOWN_PENALTY
         # No piece goes on past the start of a run of spaces, so every path has a boundary there.
         self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -84,31 +86,18 @@ class Model:
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by the model's merges: best score first, leftmost of equals."""
-        parts: list[str | None] = list(text)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else len(parts)
-            if i >= 0 and j < len(parts):
-                joined = parts[i] + parts[j]
-                if joined in self.scores:
-                    heapq.heappush(heap, (-self.scores[joined], i, joined))
-
-        for i in range(len(parts)):
-            offer(i)
-        while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or parts[j] is None or parts[i] + parts[j] != joined:
-                continue
-            parts[i], parts[j] = joined, None
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [p for p in parts if p is not None]
+        score, none = self.scores.get, float("-inf")
+        parts = list(text)
+        joins = [score(a + b, none) for a, b in pairwise(parts)]
+        while joins and (best := max(joins)) > none:
+            i = joins.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i < len(joins):
+                joins[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                joins[i - 1] = score(parts[i - 1] + parts[i], none)
+        return parts
 
     def neighbours(self, left: str) -> dict[str, bool]:
         """What is known of the pieces after ``left`` (empty at the start)."""
@@ -131,16 +120,50 @@ class Model:
 
         A character that is in no piece comes out alone.
         """
+        if self.chars.issuperset(text):
+            yield from self._paths(text)
+            return
         begin = 0
         for stop, c in enumerate(text):
             if c not in self.chars:
                 # No piece covers it, so the paths meet before and after it; merges don't cross it either.
-                yield from self._paths(text[begin:stop])
+                if begin < stop:
+                    yield from self._paths(text[begin:stop])
                 yield c
                 begin = stop + 1
-        yield from self._paths(text[begin:])
+        if begin < len(text):
+            yield from self._paths(text[begin:])
+
+    def _paths(self, text: str) -> Iterable[str]:
+        if self.kind == _BPE and len(text) <= _COMMIT_EVERY:
+            return self._path(text)
+        return self._streamed(text)
+
+    def _path(self, text: str) -> list[str]:
+        """The pieces of a text too short to be committed in parts, by a merge model's steps: one path leads to a position."""
+        n, longest, wholes, neighbours = len(text), self.longest, self.wholes, self._fits.get
+        back = [-1] * (n + 1)  # position -> start of the piece that ends there
+        back[0] = 0
+        for begin in range(n):
+            start = back[begin]
+            if start < 0:
+                continue
+            left = text[start:begin]
+            known = neighbours(left)
+            if known is None:
+                known = self.neighbours(left)
+            for end in range(begin + 1, min(n, begin + longest) + 1):
+                piece = text[begin:end]
+                whole = wholes.get(piece)
+                if whole is None:
+                    break
+                if back[end] < 0 and (whole or end == begin + 1):
+                    ok = known.get(piece)
+                    if self.fits(left, piece, known) if ok is None else ok:
+                        back[end] = begin
+        return self._trace(text, back, 0, n)
 
-    def _paths(self, text: str) -> Iterator[str]:
+    def _streamed(self, text: str) -> Iterator[str]:
         n, longest, scores, prefixes = len(text), self.longest, self.scores, self.prefixes
         bpe = self.kind == _BPE
         # Position -> start of the piece that ends there, and for unigram models the sum of scores; uncommitted ones only.
@@ -194,7 +217,7 @@ class Model:
         return alive.pop()
 
     @staticmethod
-    def _trace(text: str, back: dict[int, int], done: int, end: int) -> list[str]:
+    def _trace(text: str, back: dict[int, int] | list[int], done: int, end: int) -> list[str]:
         out = []
         while end > done:
             out.append(text[back[end] : end])
@@ -235,8 +258,10 @@ class Model:
             ids.extend(known(part) or unit(part))
         return ids
 
-    def decode(self, ids: Iterator[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         out, pending, pieces, byte_of = [], bytearray(), self.pieces, self.byte_of
+        if not isinstance(ids, Iterator) and byte_of.keys().isdisjoint(ids):
+            out, ids = [pieces[i] for i in ids], ()
         for i in ids:
             value = byte_of.get(i)
             if value is not None:

@@ -85,3 +85,31 @@ def test_ids_that_are_no_text(spark, model):
     got = sorted(((r.doc_id, r.text) for r in pieces.decode(frame).collect()), key=str)
     assert got == sorted([(1, "word�"), (1, "word�"), (None, "�"), (3, ""), (4, ""), (5, "��")], key=str)
     assert pieces.decode(frame.limit(0)).collect() == []
+
+
+def test_short_texts_are_searched_whole(model, monkeypatch):
+    """The same pieces as by the streaming search, and no search of nothing between characters that no piece covers."""
+    texts = [text.replace(" ", "▁") for text in samples() if text][:1500]
+    unknown = next(chr(c) for c in range(0x4E00, 0x9FFF) if chr(c) not in model.chars)
+    searched = []
+    paths = pieces.Model._paths
+    monkeypatch.setattr(pieces.Model, "_paths", lambda self, text: searched.append(text) or paths(self, text))
+    assert list(model.search(unknown * 40 + "the")) == [unknown] * 40 + ["the"]
+    assert searched == ["the"]
+    for text in texts:
+        known = "".join(c for c in text if c in model.chars)
+        assert list(model.search(known)) == list(model._streamed(known))
+
+
+def test_merges_of_long_texts_take_the_best_and_leftmost_first(model):
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("aeinrst▁th") for _ in range(rng.randint(1, 40)))
+        parts = list(text)
+        while True:
+            joins = [(model.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.scores]
+            if not joins:
+                break
+            i = -max(joins)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert model.merge(text) == parts
