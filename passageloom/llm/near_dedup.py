@@ -28,6 +28,10 @@ from passageloom.operators.joins import spread_join
 from passageloom.session import materialize
 
 _BATCH_CHARS = 1 << 20
+# Of a tile's work: values in a range, cells of a dense block, rows of the matrix at once.
+_RANGE = 1 << 20
+_CELLS = 1 << 22
+_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -155,27 +159,56 @@ def _meetings(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
+def _shared_columns(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Owners and columns of the values that several of the sorted ``sets`` hold, a range of values at a time."""
+    pieces = sum(map(len, sets)) // _RANGE + 1
+    bounds = [(i << 64) // pieces for i in range(1, pieces)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(bounds, np.uint64)), [len(s)]]) for s in sets]
+    for i in range(pieces):
+        own = [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts)]
+        values = np.concatenate(own)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])[order]
+        same = np.zeros(len(values), bool)
+        same[1:] = values[1:] == values[:-1]
+        use = same.copy()
+        use[:-1] |= same[1:]
+        yield owner[use], np.cumsum(~same[use]) - 1
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values two of the sorted ``sets`` share: a matrix of which the upper triangle is filled."""
+    n = len(sets)
+    shared = np.zeros((n, n), np.float32)
+    width = max(1, _CELLS // n)
+    for owner, column in _shared_columns(sets):
+        total = int(column[-1]) + 1 if len(column) else 0
+        for begin in range(0, total, width):
+            a, b = np.searchsorted(column, [begin, begin + width])
+            block = np.zeros((n, min(width, total - begin)), np.float32)
+            block[owner[a:b], column[a:b] - begin] = 1
+            for row in range(0, n, _ROWS):
+                shared[row : row + _ROWS, row:] += block[row : row + _ROWS] @ block[row:].T
+    return shared
+
+
 def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """What links of similarity ``percent`` or more connect: every node but the least of each part, with the least."""
+    """What links of similarity ``percent`` or more connect: every node but the least of each part, with the least.
+
+    Beside the sorted ``sets``, memory is five bytes for each cell of the matrix of sets and a bounded rest:
+    ranges of values and blocks of rows are worked off in turn.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    shared = np.zeros((n, n), np.float32)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    column = np.cumsum(counts > 1) - 1
-    use = counts[inverse] > 1
-    owner, column = owner[use], column[inverse[use]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width = max(1, (1 << 22) // n)
-    total = int(column[-1]) + 1 if len(column) else 0
-    for begin in range(0, total, width):
-        a, b = np.searchsorted(column, [begin, begin + width])
-        block = np.zeros((n, min(width, total - begin)), np.float32)
-        block[owner[a:b], column[a:b] - begin] = 1
-        shared += block @ block.T
-    both = shared.astype(np.int64)
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    shared = _shared_counts(sets)
+    linked = np.zeros((n, n), bool)
+    for row in range(0, n, _ROWS):
+        own = slice(row, row + _ROWS)
+        both = shared[own, row:].astype(np.int64)
+        linked[own, row:] = (100 + percent) * both >= percent * (sizes[own, None] + sizes[None, row:])
+    del shared
+    linked |= linked.T
     np.fill_diagonal(linked, False)
     stars, waiting = [], np.ones(n, bool)
     for first in np.argsort(nodes):

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import types as T
@@ -94,3 +95,50 @@ def test_shingles_that_differ_in_their_last_bits_only():
     own = near_dedup.shingles(words, 1)
     assert len(own) == 3
     assert unpack(pack(own, 0), 0).tolist() == values.tolist()
+
+
+def _near_sets(n, size, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+    sets = []
+    for _ in range(n):
+        own = base.copy()
+        changed = rng.integers(0, size, rng.integers(0, size // 5))
+        own[changed] = rng.integers(0, 1 << 64, len(changed), dtype=np.uint64)
+        sets.append(np.unique(own))
+    return [int(x) for x in rng.permutation(n)], sets
+
+
+def test_a_tile_takes_few_bytes_for_a_pair():
+    nodes, sets = _near_sets(2400, 30, 1)
+    tracemalloc.start()
+    stars = near_dedup.confirmed(nodes, sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stars
+    assert peak < 20 * len(sets) ** 2
+
+
+def test_a_tile_by_ranges_and_rows(monkeypatch):
+    for seed in range(4):
+        nodes, sets = _near_sets(70, 60, seed)
+        sets[3], sets[4] = np.array([0], np.uint64), np.array([0, (1 << 64) - 1], np.uint64)
+        sets[5] = np.array([(1 << 64) - 1], np.uint64)
+        linked = {(a, b) for a in range(70) for b in range(70)
+                  if a != b and 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 60 * (len(sets[a]) + len(sets[b]) - both)}
+        wanted = []
+        waiting = set(range(70))
+        for first in sorted(waiting, key=lambda x: nodes[x]):
+            queue = [first] if first in waiting else []
+            waiting.discard(first)
+            while queue:
+                at = queue.pop()
+                found = {b for b in waiting if (at, b) in linked}
+                waiting -= found
+                queue += found
+                wanted += [(nodes[b], nodes[first]) for b in found]
+        for size, cells, rows in [(1 << 20, 1 << 22, 256), (50, 300, 7), (1000, 70, 1)]:
+            with monkeypatch.context() as patch:
+                for name, value in (("_RANGE", size), ("_CELLS", cells), ("_ROWS", rows)):
+                    patch.setattr(near_dedup, name, value, raising=False)
+                assert sorted(near_dedup.confirmed(nodes, sets, 60)) == sorted(wanted)
