@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passageloom.llm.blocks import bring, store_blocks
+from passageloom.llm.blocks import bring, each_block, store_blocks
 from passageloom.llm.common import batched
 from passageloom.llm.exchange import lowest, pack, split, unpack
 from passageloom.llm.words import hash_words, mix
@@ -220,14 +220,13 @@ def _messages(blocks: DataFrame, kind: str, owners: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
-                for row in batch.to_pylist():
-                    keys, where, text = _keys(kind, row["texts"])
-                    learn = np.array(row["flags"])[text]
-                    counts = np.bincount(where[learn], minlength=len(keys)).astype(np.uint32)
-                    for owner, a, b in split(keys, owners):
-                        packed = pack(keys[a:b], lowest(owner, owners))
-                        yield row["part"], row["block"], owner, packed, counts[a:b].tobytes()
+            for row in each_block(batches):
+                keys, where, text = _keys(kind, row["texts"])
+                learn = np.array(row["flags"])[text]
+                counts = np.bincount(where[learn], minlength=len(keys)).astype(np.uint32)
+                for owner, a, b in split(keys, owners):
+                    packed = pack(keys[a:b], lowest(owner, owners))
+                    yield row["part"], row["block"], owner, packed, counts[a:b].tobytes()
 
         yield from batched(rows(), schema, 500)
 
@@ -335,26 +334,25 @@ def score_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
-                for row in batch.to_pylist():
-                    texts = row["texts"]
-                    _, word, text = _keys("word", texts)
-                    counts = _joined(row["words"], _TOTAL)[word].astype(np.float64)
-                    _, pair, _ = _keys("pair", texts)
-                    codes = _joined(row["pairs"], np.uint8)[pair].astype(np.float64)
-                    base = (counts + 1) / (total + distinct + 1)
-                    # The count of the token before: the previous token's, or the number of training texts.
-                    context = np.concatenate([[learned], counts[:-1]])
-                    first = np.concatenate([[True], text[1:] != text[:-1]])
-                    context[first] = learned
-                    known = context > 0
-                    ratio = np.where(codes == _ABSENT, 0.0, 10.0 ** (-codes * step) * total)
-                    ratio = np.minimum(1.0, ratio / np.maximum(context, 1))
-                    p = np.where(known, settings.mix * ratio + (1 - settings.mix) * base, base)
-                    n = len(texts)
-                    sums = [np.bincount(text, x, n) for x in (np.ones(len(text)), counts > 0, np.log10(base), np.log10(p))]
-                    for i, doc in enumerate(row["doc_ids"]):
-                        yield doc, int(sums[0][i]), int(sums[1][i]), total, sums[2][i], sums[3][i]
+            for row in each_block(batches):
+                texts = row["texts"]
+                _, word, text = _keys("word", texts)
+                counts = _joined(row["words"], _TOTAL)[word].astype(np.float64)
+                _, pair, _ = _keys("pair", texts)
+                codes = _joined(row["pairs"], np.uint8)[pair].astype(np.float64)
+                base = (counts + 1) / (total + distinct + 1)
+                # The count of the token before: the previous token's, or the number of training texts.
+                context = np.concatenate([[learned], counts[:-1]])
+                first = np.concatenate([[True], text[1:] != text[:-1]])
+                context[first] = learned
+                known = context > 0
+                ratio = np.where(codes == _ABSENT, 0.0, 10.0 ** (-codes * step) * total)
+                ratio = np.minimum(1.0, ratio / np.maximum(context, 1))
+                p = np.where(known, settings.mix * ratio + (1 - settings.mix) * base, base)
+                n = len(texts)
+                sums = [np.bincount(text, x, n) for x in (np.ones(len(text)), counts > 0, np.log10(base), np.log10(p))]
+                for i, doc in enumerate(row["doc_ids"]):
+                    yield doc, int(sums[0][i]), int(sums[1][i]), total, sums[2][i], sums[3][i]
 
         yield from batched(rows(), schema)
 

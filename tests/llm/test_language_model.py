@@ -4,10 +4,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passageloom.llm import language_model
+from passageloom.llm.blocks import each_block, store_blocks
 from passageloom.llm.common import held_out
 from passageloom.llm.exchange import pack
 from passageloom.llm.language_model import EliasFano, Settings, Trie
@@ -80,3 +82,17 @@ def test_totals_over_32_bits():
     replies = language_model._word_counts(*language_model._merged(pdf, 1))
     for reply in replies:
         assert language_model._joined([{"reply": reply}], language_model._TOTAL).tolist() == [2, 6 * 10**9]
+
+
+def test_blocks_lie_in_short_files(spark):
+    """A reader holds thousands of rows of a file at once; a part has as many blocks as its split has text."""
+    docs = spark.createDataFrame([(i, "word " * 30, False) for i in range(90)], "doc_id long, text string, flag boolean").coalesce(1)
+    blocks = store_blocks(docs, "short", block_chars=200)
+    per_file = blocks.groupBy(F.input_file_name()).count().collect()
+    assert blocks.count() == 90 and max(r["count"] for r in per_file) <= 16
+    assert blocks.select("part").distinct().count() == 1
+
+
+def test_a_batch_is_read_block_by_block():
+    batch = pa.RecordBatch.from_pydict({"block": [1, 2, 3], "texts": [["a"], [], ["b", "c"]]})
+    assert list(each_block(iter([batch, batch.slice(0, 0), batch.slice(1)]))) == batch.to_pylist() + batch.to_pylist()[1:]
