@@ -128,6 +128,15 @@ def _earlier_paths(rows: DataFrame) -> list[tuple[int, list[int]]]:
     return list(paths.items())
 
 
+# ---- joins -----------------------------------------------------------------------------------
+
+
+def _merged(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Both by ``rank``. A table with a row per word stays out of the driver, however small its file is: a broadcast
+    is chosen by the size of the compressed file, and takes many times that there."""
+    return left.join(right.hint("merge"), "rank", how)
+
+
 # ---- pairs -----------------------------------------------------------------------------------
 
 
@@ -135,7 +144,7 @@ def split_pairs(words: DataFrame) -> DataFrame:
     """``before, after, rank, kind`` for every letter and every place between letters of ``words`` (``rank, word``)."""
     forward = trie_nodes(words, "word", "forward")
     backward = trie_nodes(words.withColumn("reversed", F.reverse("word")), "reversed", "backward")
-    both = forward.withColumnRenamed("nodes", "f").join(backward.withColumnRenamed("nodes", "b"), "rank").join(words, "rank")
+    both = _merged(_merged(forward.withColumnRenamed("nodes", "f"), backward.withColumnRenamed("nodes", "b")), words)
     schema = pa.schema([("before", pa.int64()), ("after", pa.int64()), ("rank", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +226,7 @@ def variant_groups(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     words = materialize(number_rows(words, ["_less", "word"], "rank").select("rank", "word", "n"), "vocabulary")
     found = materialize(neighbours(split_pairs(words)), "near")
     best = words.select(F.col("rank").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    formed = spread_join(found, best, ["best"], ["rank"]).join(words.select("rank", "n"), "rank")
+    formed = _merged(spread_join(found, best, ["best"], ["rank"]), words.select("rank", "n"))
     likely = F.col("form_n") >= F.col("n") * ratio
     formed = materialize(
         formed.select(
@@ -230,7 +239,7 @@ def variant_groups(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     roots = _roots(formed.filter("best is not null").select("rank", F.col("best").alias("form")), most, ratio)
     ends = words.select(F.col("rank").alias("root"), F.col("word").alias("_root_word"))
     roots = spread_join(roots, ends, ["root"], ["rank"]).select("rank", F.col("_root_word").alias("root"))
-    return words.join(formed, "rank", "left").join(roots, "rank", "left").select(
+    return _merged(_merged(words, formed, "left"), roots, "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
