@@ -13,10 +13,6 @@ from passageloom.operators.joins import spread_join
 from passageloom.session import materialize
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def near(a, b):
     """Whether one inserted, deleted or replaced letter leads from ``a`` to ``b``."""
     if abs(len(a) - len(b)) > 1 or a == b:
@@ -117,16 +113,16 @@ def test_no_words(spark):
     assert [tuple(r) for r in spelling.variant_groups(null).collect()] == [("single", 5, 0, None, None, "single")]
 
 
-def test_no_table_of_words_is_broadcast(spark):
+def test_no_table_of_words_is_broadcast(spark, plan):
     """A small file may hold many words: what is broadcast passes through the driver."""
     words = [("".join(p), i + 5) for i, p in enumerate(itertools.product("abc", repeat=6))]
     counts = spark.createDataFrame(words, "word string, n long")
-    assert "Broadcast" not in plan_of(spelling.variant_groups(counts))
+    assert "Broadcast" not in plan(spelling.variant_groups(counts))
 
 
-def test_the_repeated_side_of_a_spread_join_is_not_broadcast(spark):
+def test_the_repeated_side_of_a_spread_join_is_not_broadcast(spark, plan):
     rows = materialize(spark.range(1000).selectExpr("id % 10 AS k", "id"), "rows")
     one = materialize(spark.range(10).selectExpr("id AS k", "id * 2 AS v"), "one")
     joined = spread_join(rows, one, ["k"], ["id"], "left")
-    assert "Broadcast" not in plan_of(joined)
+    assert "Broadcast" not in plan(joined)
     assert joined.filter("v = 2 * k").count() == 1000
